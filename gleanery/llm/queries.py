@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from gleanery.llm import chat, sharding, simhash
+from gleanery.llm import chat, packing, pq, sharding, simhash, topk
 
 QUERIES = {
     "op1_simhash_golay": simhash.op1_simhash_golay,
+    "op2_bounded_space_packing": packing.op2_bounded_space_packing,
+    "op3_histogram_topk": topk.op3_histogram_topk,
+    "op4_pq_near_duplicates": pq.op4_pq_near_duplicates,
     "op6_perspective_rotation": chat.op6_perspective_rotation,
     "op7_rendezvous_shards": sharding.op7_rendezvous_shards,
 }
-ORACLE_SQL = {"op6_perspective_rotation": chat.OP6_SQL}
+ORACLE_SQL = {
+    "op3_histogram_topk": topk.OP3_SQL,
+    "op4_pq_near_duplicates": pq.OP4_SQL,
+    "op6_perspective_rotation": chat.OP6_SQL,
+}
