@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.llm import chat, packing, pq, sharding, simhash, topk
+from gleanery.llm import chat, packing, pq, quality, sharding, simhash, topk, toxicity
 
 QUERIES = {
     "op1_simhash_golay": simhash.op1_simhash_golay,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_pq_near_duplicates": pq.op4_pq_near_duplicates,
     "op6_perspective_rotation": chat.op6_perspective_rotation,
     "op7_rendezvous_shards": sharding.op7_rendezvous_shards,
+    "op8_subword_quality": quality.op8_subword_quality,
+    "op9_noisy_channel_toxicity": toxicity.op9_noisy_channel_toxicity,
 }
 ORACLE_SQL = {
     "op3_histogram_topk": topk.OP3_SQL,
