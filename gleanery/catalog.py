@@ -136,7 +136,7 @@ def url_dedup(spark, folder):
     return rows.groupBy("normal").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
 
 
-@query("host_bonus", f"SELECT {_H} AS host, CASE WHEN contains({_H}, '.org') THEN 0.2 WHEN contains({_H}, 'example.com') THEN 0.15 ELSE 0.0 END AS bonus, count(*) AS n FROM pages GROUP BY ALL")
+@query("host_bonus", f"SELECT {_H} AS host, CASE WHEN contains({_H}, '.org') THEN 0.2::DOUBLE WHEN contains({_H}, 'example.com') THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END AS bonus, count(*) AS n FROM pages GROUP BY ALL")
 def host_bonus(spark, folder):
     host = T.url_host(F.col("url"))
     rows = read(spark, folder, "pages").select(host.alias("host"))
