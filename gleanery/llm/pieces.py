@@ -1,8 +1,8 @@
 """Sampled SentencePiece segmentations by forward filtering and backward sampling, and lossless decoding.
 
 The pieces are those of a public SentencePiece model. Its scores are ranks of merges; a piece of rank r counts as log probability -ln(r + 2.7), as by
-Zipf's law. Blanks are written as the model's mark; characters that no piece covers, and the mark itself where a text holds it, go as byte
-pieces. A unit is a mark with what follows up to the next blank. Forward probabilities are filtered once for each distinct unit; segmentations of
+Zipf's law. The model's mark stands for a blank; characters that no piece covers, and the mark itself where a text holds it, go as byte
+pieces. A unit is a blank with what follows up to the next blank. Forward probabilities are filtered once for each distinct unit; segmentations of
 all occurrences are then drawn backwards together.
 """
 
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +20,25 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import table
 
 MARK = "▁"
-#: Lattice nodes that are remembered at a time.
-REMEMBERED = 3_000_000
+#: Lattice nodes, one a character of a distinct unit, that are remembered at a time; the longest piece that is looked for.
+REMEMBERED, LONGEST = 3_000_000, 16
 ZIPF = 2.7
 
 
+def _hashes(chars: np.ndarray) -> np.ndarray:
+    """Running hashes of the prefixes of concatenated strings: one more than there are characters."""
+    out = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * _powers(len(chars)), out=out[1:])
+    return out
+
+
+_STEP = 0x9E3779B97F4A7C15 | 1
+
+
+def _powers(n: int, step: int = _STEP) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), np.uint64(step))]))[:n]
+
+
 class Pieces:
     """The vocabulary: ids of texts, log probabilities, byte pieces, and what each id decodes to."""
 
@@ -35,7 +48,7 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path or public_tokenizers.path("piece_bpe_32k.model"))
         self.ids: dict[str, tuple[int, float]] = {}
-        self.bytes, self.text = [0] * 256, []
+        self.bytes, self.text = np.zeros(256, np.int64), []
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -45,78 +58,107 @@ class Pieces:
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 self.text.append(b"")
             else:
-                self.text.append(piece.replace(MARK, " ").encode())
-                if MARK not in piece[1:]:  # no piece of a unit goes over a blank
+                piece = piece.replace(MARK, " ")
+                self.text.append(piece.encode())
+                if " " not in piece[1:]:  # no piece of a unit goes over a blank
                     self.ids[piece] = (i, -math.log(-min(sp.get_score(i), 0) + ZIPF))
-        self.longest = max(map(len, self.ids), default=1)
-        self.starts = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        # Hashes of all pieces and of all their beginnings, in order, to look up many substrings at once.
+        begins = {p[:n]: self.ids.get(p[:n], (-1, 0.0)) for p in self.ids for n in range(1, len(p) + 1)}
+        chars = np.array([[ord(c) + 1 for c in p.ljust(LONGEST, "\0")] for p in begins if len(p) <= LONGEST], np.uint64)
+        sizes = np.array([len(p) for p in begins if len(p) <= LONGEST])
+        weights = np.where(np.arange(LONGEST)[None] < sizes[:, None], _powers(LONGEST)[None], np.uint64(0))
+        found = (chars * weights).sum(1, dtype=np.uint64)
+        order = np.argsort(found)
+        self.hash = found[order]
+        assert (np.diff(self.hash.view(np.int64)) != 0).all(), "two pieces have one hash"
+        values = [v for p, v in begins.items() if len(p) <= LONGEST]
+        self.id_of, self.weight = np.array([v[0] for v in values])[order], np.array([v[1] for v in values])[order]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.text.__getitem__, ids))
 
 
 class Lattices(dict):
-    """unit -> its last node. Nodes lie in arrays: node k's ways in are edges[first[k]:], their cumulative shares offset by k, so that one search
-    finds the edge that a number drawn in [0, 1) stands for. An edge has a piece's id and the node it comes from, -1 at a unit's beginning."""
+    """unit -> its last node. A node stands for the place after a character of a unit; its ways in are edges, kept by node, their cumulative shares
+    offset by the node's number, so that one search finds the edge that a number drawn in [0, 1) stands for. An edge has a piece's id, or the
+    negative of a character that goes as bytes, and the node that it comes from, -1 at a unit's beginning."""
 
     def __init__(self, pieces: Pieces, power: float) -> None:
         super().__init__()
         self.pieces, self.power = pieces, power
-        self.upto, self.piece, self.source, self.nodes = array("d"), array("i"), array("q"), 0
+        self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.upto, self.piece, self.source, self.nodes = array("d"), array("i"), array("q"), 0
-
-    def node(self, ways: list[tuple[float, int, int]]) -> int:
-        """Adds a node with (log weight, piece, source) ways in."""
-        top = max(w for w, _, _ in ways)
-        shares = [math.exp(w - top) for w, _, _ in ways]
-        total, at = sum(shares), 0.0
-        for k, (share, (_, piece, source)) in enumerate(zip(shares, ways)):
-            at += share / total
-            self.upto.append(self.nodes + (1.0 if k == len(ways) - 1 else at))
-            self.piece.append(piece)
-            self.source.append(source)
-        self.nodes += 1
-        return self.nodes - 1
-
-    def __missing__(self, unit: str) -> int:
-        """Forward filtering over one unit; a unit's first character is a mark if it begins with a blank (written as one by units())."""
-        ids, starts, power = self.pieces.ids, self.pieces.starts, self.power
-        ways: list[list[tuple[float, int, int]]] = [[] for _ in range(len(unit) + 1)]
-        total, last = [0.0] * (len(unit) + 1), -1
-        ends = [-1] * (len(unit) + 1)
-        for i in range(len(unit)):
-            if i:
-                if not ways[i]:
-                    continue
-                last = ends[i] = self.node(ways[i])
-                top = max(w for w, _, _ in ways[i])
-                total[i] = top + math.log(sum(math.exp(w - top) for w, _, _ in ways[i]))
-                ways[i] = []
-            come, at, single = ends[i], total[i], False
-            # A mark inside a unit is the text's own character: it has no piece.
-            for j in range(i + 1, min(len(unit), i + self.pieces.longest) + 1):
-                part = unit[i:j]
-                if part not in starts or (MARK in part[1:] if i == 0 else MARK in part):
-                    break
-                if (found := ids.get(part)) is not None:
-                    ways[j].append((at + power * found[1], found[0], come))
-                    single |= j == i + 1
-            if not single:
-                octets = (" " if i == 0 and unit[0] == MARK else unit[i]).encode()
-                for octet in octets[:-1]:
-                    come = self.node([(0.0, self.pieces.bytes[octet], come)])
-                ways[i + 1].append((at - power * math.log(len(ids) + ZIPF) * len(octets), self.pieces.bytes[octets[-1]], come))
-        self[unit] = last = self.node(ways[len(unit)])
-        return last
+        self.nodes, self.upto, self.piece, self.source = 0, np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, units: list[str]) -> None:
+        """Forward filtering over units that are new, all at once: first all edges, then sums place after place."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        text = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        n, first = len(text), np.cumsum(sizes) - sizes
+        start = np.repeat(first, sizes)
+        left = np.repeat(sizes, sizes) - (np.arange(n) - start)  # characters up to the unit's end
+        sums = _hashes(text)
+        inverse = _powers(n, pow(_STEP, -1, 1 << 64))
+        at, froms, tos, ids, logs = np.arange(n), [], [], [], []
+        single = np.zeros(n, bool)
+        for size in range(1, LONGEST + 1):
+            at = at[left[at] >= size]
+            part = (sums[at + size] - sums[at]) * inverse[at]
+            k = np.minimum(np.searchsorted(self.pieces.hash, part), len(self.pieces.hash) - 1)
+            hit = self.pieces.hash[k] == part
+            at, k = at[hit], k[hit]
+            whole = self.pieces.id_of[k] >= 0
+            froms.append(at[whole])
+            tos.append(at[whole] + size - 1)
+            ids.append(self.pieces.id_of[k][whole])
+            logs.append(self.pieces.weight[k][whole] * self.power)
+            if size == 1:
+                single[at[whole]] = True
+            if not len(at):
+                break
+        bare = np.flatnonzero(~single)  # characters that are no piece: bytes
+        c = text[bare]
+        octets = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+        froms.append(bare)
+        tos.append(bare)
+        ids.append(np.where(c > 0x7F, -c, self.pieces.bytes[np.minimum(c, 0x7F)]))
+        logs.append(-self.power * math.log(len(self.pieces.ids) + ZIPF) * octets)
+        frm, to, piece, log = (np.concatenate(x) for x in (froms, tos, ids, logs))
+        # Edges by the place in their unit where they end, then by node: a place's nodes need only those of earlier places.
+        place = to - start[to]
+        order = np.lexsort((frm, to, place))
+        frm, to, piece, log, place = (x[order] for x in (frm, to, piece, log, place))
+        total, share = np.zeros(n), np.empty(len(to))
+        cuts = np.searchsorted(place, np.arange(int(sizes.max(initial=0)) + 1))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            f, t = frm[a:b], to[a:b]
+            value = log[a:b] + np.where(f > start[f], total[f - 1], 0.0)
+            heads = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            width = np.diff(np.append(heads, len(t)))
+            top = np.maximum.reduceat(value, heads)
+            e = np.exp(value - np.repeat(top, width))
+            whole = np.add.reduceat(e, heads)
+            total[t[heads]] = top + np.log(whole)
+            upto = np.cumsum(e / np.repeat(whole, width))
+            upto -= np.repeat(upto[heads] - (e / np.repeat(whole, width))[heads], width)
+            upto[np.append(heads[1:], len(t)) - 1] = 1.0
+            share[a:b] = np.minimum(upto, 1.0)
+        back = np.argsort(to, kind="stable")
+        frm, to = frm[back], to[back]
+        base = self.nodes
+        self.upto = np.concatenate([self.upto, base + to + share[back]])
+        self.piece = np.concatenate([self.piece, piece[back]])
+        self.source = np.concatenate([self.source, np.where(frm > start[frm], base + frm - 1, -1)])
+        self.nodes += n
+        self.update(zip(units, (base + first + sizes - 1).tolist()))
 
 
 def units(text: str) -> list[str]:
-    """A text's units: its parts between blanks, each but the first with a mark before it."""
+    """A text's units: its parts between blanks, each but the first with the blank before it."""
     first, *rest = text.split(" ")
-    return ([first] if first else []) + [MARK + p for p in rest]
+    return ([first] if first else []) + [" " + p for p in rest]
 
 
 def _uniform(key: np.ndarray, step: int) -> np.ndarray:
@@ -133,49 +175,33 @@ def draw(texts: list[str], seeds: list[int], lattices: Lattices) -> list[np.ndar
     """The sampled ids of each text. A text's draws depend on its seed and on its own units alone."""
     if lattices.nodes > REMEMBERED:
         lattices.reset()
-    ends: list[int] = []
-    sizes = []
-    for text in texts:
-        parts = units(text)
-        if text.startswith(MARK):  # the text's own character: byte pieces, then the rest as a unit without mark
-            own = [_bytes_only(MARK, lattices)]
-            rest = parts[0][1:]
-            while rest.startswith(MARK):
-                own, rest = [*own, own[0]], rest[1:]
-            got = [*own, *([lattices[rest]] if rest else []), *map(lattices.__getitem__, parts[1:])]
-        else:
-            got = list(map(lattices.__getitem__, parts))
-        ends += got
-        sizes.append(len(got))
-    n = len(ends)
-    size = np.array(sizes, np.int64)
+    parts = [units(t) for t in texts]
+    if new := list(dict.fromkeys(u for p in parts for u in p if u not in lattices)):
+        lattices.add(new)
+    ends = np.fromiter((lattices[u] for p in parts for u in p), np.int64)
+    n, size = len(ends), np.array(list(map(len, parts)), np.int64)
     first = np.cumsum(size) - size
     within = (np.arange(n) - np.repeat(first, size)).astype(np.uint64)
     key = (np.repeat(np.array(seeds, np.uint64), size) ^ (within * np.uint64(0xD1B54A32D192ED03))) * np.uint64(0x2545F4914F6CDD1D)
-    upto, piece, source = np.frombuffer(lattices.upto), np.frombuffer(lattices.piece, np.int32), np.frombuffer(lattices.source, np.int64)
-    at, live = np.array(ends, np.int64), np.arange(n)
+    at, live = ends, np.arange(n)
     steps, length = [], np.zeros(n, np.int64)
     while len(live):
-        edge = np.searchsorted(upto, at + _uniform(key[live], len(steps)), "right")
-        steps.append((live, piece[edge]))
+        edge = np.searchsorted(lattices.upto, at + _uniform(key[live], len(steps)), "right")
+        steps.append((live, lattices.piece[edge]))
         length[live] += 1
-        at = source[edge]
+        at = lattices.source[edge]
         on = at >= 0
         live, at = live[on], at[on]
     start = np.cumsum(length) - length
-    out = np.empty(int(length.sum()), np.int32)
+    out = np.empty(int(length.sum()), np.int64)
     for k, (who, what) in enumerate(steps):
         out[start[who] + length[who] - 1 - k] = what
-    del upto, piece, source  # so that the arrays can grow again
     cuts = np.concatenate([start, [len(out)]])
-    return [out[cuts[f] : cuts[f + s]] for f, s in zip(first.tolist(), size.tolist())]
-
-
-def _bytes_only(char: str, lattices: Lattices) -> int:
-    come = -1
-    for octet in char.encode():
-        come = lattices.node([(0.0, lattices.pieces.bytes[octet], come)])
-    return come
+    drawn = [out[cuts[f] : cuts[f + s]] for f, s in zip(first.tolist(), size.tolist())]
+    if (out < 0).any():  # characters that go as bytes
+        octets = lattices.pieces.bytes
+        drawn = [np.array([i for x in d.tolist() for i in ([x] if x >= 0 else octets[list(chr(-x).encode())].tolist())], np.int64) if (d < 0).any() else d for d in drawn]
+    return [d.astype(np.int32) for d in drawn]
 
 
 #: Characters of text that are drawn at a time.
