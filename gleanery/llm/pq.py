@@ -111,7 +111,7 @@ def _links_of_dim(classes: DataFrame, dim: int, least: float, block: int) -> tup
     """((node, n): linked vectors found for each distinct vector, (a, b): edges that connect what the links connect)."""
     spark = classes.sparkSession
     total = classes.count()
-    sample = classes.select("node", "v").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toPandas()
+    sample = classes.select("node", "v").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toArrow().to_pandas()
     quantiser = Quantiser(_unit(np.array(sample.v.tolist(), np.float64)), total)
     cells = len(quantiser.coarse[0]) * len(quantiser.coarse[1])  # MOST_CENTROIDS squared at most
 
@@ -126,7 +126,7 @@ def _links_of_dim(classes: DataFrame, dim: int, least: float, block: int) -> tup
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), probes, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err)], names=["node", "n", "v", "probes", "code", "err"])
 
     placed = written(classes.select("node", "n", "v").mapInArrow(assign, "node long, n long, v array<double>, probes array<int>, code binary, err double"))
-    sizes = placed.select(F.explode("probes").alias("cell"), F.lit(0).alias("held")).union(placed.select(F.col("probes")[0], F.lit(1))).groupBy("cell").agg(F.count_if(F.col("held") == 0).alias("q"), F.sum("held").alias("x")).toPandas()
+    sizes = placed.select(F.explode("probes").alias("cell"), F.lit(0).alias("held")).union(placed.select(F.col("probes")[0], F.lit(1))).groupBy("cell").agg(F.count_if(F.col("held") == 0).alias("q"), F.sum("held").alias("x")).toArrow().to_pandas()
     of_queries, of_rows = np.ones(cells, np.int64), np.ones(cells, np.int64)
     of_queries[sizes.cell.to_numpy(np.int64)] = np.maximum(1, -(-sizes.q.to_numpy(np.int64) // block))
     of_rows[sizes.cell.to_numpy(np.int64)] = np.maximum(1, -(-sizes.x.to_numpy(np.int64) // block))

@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["_id", "_label", "ids", "shares"])
 
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(picked), "_id").select("_id", "_label", "_text")
-    got = rows.mapInArrow(count, "_id long, _label int, ids array<int>, shares array<float>").toPandas()
+    got = rows.mapInArrow(count, "_id long, _label int, ids array<int>, shares array<float>").toArrow().to_pandas()
     got = got.sort_values(["_id"], kind="stable", ignore_index=True)
     if not len(got):
         return Model(np.zeros(1 << BUCKETS_LOG2, np.float32), 0.0)

@@ -94,7 +94,7 @@ def _kth(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, bound: np.ndarra
     while (hi - lo > 1).any():
         width = np.maximum(1, -(-(hi - lo) // BINS))
         parts = rows.mapInArrow(_histogram(ids, queries, lo, hi, width, k), "q long, bin long, n long")
-        got = parts.groupBy("q", "bin").agg(F.sum("n").alias("n")).toPandas()  # at most BINS + 1 rows a query of the block
+        got = parts.groupBy("q", "bin").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # at most BINS + 1 rows a query of the block
         n = np.zeros((len(ids), BINS + 1), np.int64)
         n[got.q.to_numpy(np.int64), got.bin.to_numpy(np.int64)] = got.n.to_numpy(np.int64)
         upto = np.cumsum(n[:, ::-1], axis=1)[:, ::-1]
