@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,9 +80,9 @@ class Pieces:
 
 
 class Lattices(dict):
-    """unit -> its last node. A node stands for the place after a character of a unit; its ways in are edges, kept by node, their cumulative shares
-    offset by the node's number, so that one search finds the edge that a number drawn in [0, 1) stands for. An edge has a piece's id, or the
-    negative of a character that goes as bytes, and the node that it comes from, -1 at a unit's beginning."""
+    """unit -> its last node. A node stands for the place after a character of a unit; its ways in are edges, side by side from entry[node] on, the
+    longest pieces first, with cumulative shares that end with 1: the first over a number drawn in [0, 1) is the edge that it stands for. An edge has
+    a piece's id, or the negative of a character that goes as bytes, and the node that it comes from, -1 at a unit's beginning."""
 
     def __init__(self, pieces: Pieces, power: float) -> None:
         super().__init__()
@@ -90,7 +91,7 @@ class Lattices(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.nodes, self.upto, self.piece, self.source = 0, np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.nodes, self.entry, self.upto, self.piece, self.source = 0, np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def add(self, units: list[str]) -> None:
         """Forward filtering over units that are new, all at once: first all edges, then sums place after place."""
@@ -128,7 +129,7 @@ class Lattices(dict):
         frm, to, piece, log = (np.concatenate(x) for x in (froms, tos, ids, logs))
         # Edges by the place in their unit where they end, then by node: a place's nodes need only those of earlier places.
         place = to - start[to]
-        order = np.lexsort((frm, to, place))
+        order = np.argsort((place * n + to) * LONGEST - (to - frm))
         frm, to, piece, log, place = (x[order] for x in (frm, to, piece, log, place))
         total, share = np.zeros(n), np.empty(len(to))
         cuts = np.searchsorted(place, np.arange(int(sizes.max(initial=0)) + 1))
@@ -145,11 +146,12 @@ class Lattices(dict):
             upto -= np.repeat(upto[heads] - (e / np.repeat(whole, width))[heads], width)
             upto[np.append(heads[1:], len(t)) - 1] = 1.0
             share[a:b] = np.minimum(upto, 1.0)
-        back = np.argsort(to, kind="stable")
+        back = np.argsort(to * LONGEST - (to - frm))
         frm, to = frm[back], to[back]
         base = self.nodes
-        self.upto = np.concatenate([self.upto, base + to + share[back]])
-        self.piece = np.concatenate([self.piece, piece[back]])
+        self.entry = np.concatenate([self.entry, len(self.upto) + np.searchsorted(to, np.arange(n))])
+        self.upto = np.concatenate([self.upto, share[back]])
+        self.piece = np.concatenate([self.piece, piece[back].astype(np.int32)])
         self.source = np.concatenate([self.source, np.where(frm > start[frm], base + frm - 1, -1)])
         self.nodes += n
         self.update(zip(units, (base + first + sizes - 1).tolist()))
@@ -176,9 +178,10 @@ def draw(texts: list[str], seeds: list[int], lattices: Lattices) -> list[np.ndar
     if lattices.nodes > REMEMBERED:
         lattices.reset()
     parts = [units(t) for t in texts]
-    if new := list(dict.fromkeys(u for p in parts for u in p if u not in lattices)):
+    every = list(chain.from_iterable(parts))
+    if new := [u for u in dict.fromkeys(every) if u not in lattices]:
         lattices.add(new)
-    ends = np.fromiter((lattices[u] for p in parts for u in p), np.int64)
+    ends = np.fromiter(map(lattices.__getitem__, every), np.int64, len(every))
     n, size = len(ends), np.array(list(map(len, parts)), np.int64)
     first = np.cumsum(size) - size
     within = (np.arange(n) - np.repeat(first, size)).astype(np.uint64)
@@ -186,7 +189,11 @@ def draw(texts: list[str], seeds: list[int], lattices: Lattices) -> list[np.ndar
     at, live = ends, np.arange(n)
     steps, length = [], np.zeros(n, np.int64)
     while len(live):
-        edge = np.searchsorted(lattices.upto, at + _uniform(key[live], len(steps)), "right")
+        edge = lattices.entry[at]
+        drawn = _uniform(key[live], len(steps))
+        over = np.arange(len(edge))
+        while len(over := over[lattices.upto[edge[over]] <= drawn[over]]):
+            edge[over] += 1
         steps.append((live, lattices.piece[edge]))
         length[live] += 1
         at = lattices.source[edge]
