@@ -9,8 +9,10 @@ from gleanery.functions import text as T
 from gleanery.operators import relevance as R
 from gleanery.operators import similarity as S
 from gleanery.operators import stores as K
+from gleanery.operators import topics as C
 from gleanery.operators import validate as V
 from gleanery.sources.tables import articles, read
+from gleanery.streaming import feeds
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -285,3 +287,186 @@ def rollup_revenue(spark, folder):
     t = {n: read(spark, folder, n) for n in ("lineitem", "part", "supplier", "nation")}
     rows = t["lineitem"].join(t["part"], F.expr("l_partkey = p_partkey")).join(t["supplier"], F.expr("l_suppkey = s_suppkey")).join(t["nation"], F.expr("s_nationkey = n_nationkey"))
     return rows.rollup("n_name", "p_brand").agg(F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue"))
+
+
+#: Term lists for the test corpus; the lists are parameters of the operators.
+DOMAINS = {"one": ["therean", "ingthe"], "two": ["tion"], "three": ["und", "der "], "four": [" les ", " que "]}
+
+
+def _tags(text: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f"contains(lower({text}), '{t}')" for t in terms)} THEN '{name}' END" for name, terms in DOMAINS.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query("domain_tags", WITH + f"SELECT id, array_to_string({_tags('content')}, ',') AS tags FROM articles")
+def domain_tags(spark, folder):
+    return articles(spark, folder).select("id", F.array_join(C.tags(F.col("content"), DOMAINS), ",").alias("tags"))
+
+
+@query("theme_frequency", WITH + f"SELECT term, count(*) AS n FROM (SELECT unnest({_tags('content')}) AS term FROM articles) GROUP BY 1 ORDER BY n DESC, term LIMIT 3")
+def theme_frequency(spark, folder):
+    return K.frequent(articles(spark, folder), C.tags(F.col("content"), DOMAINS), 3)
+
+
+@query("title_words", WITH + "SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z]+'), lambda w: length(w) > 3))) AS term FROM articles) GROUP BY 1 ORDER BY n DESC, term LIMIT 3")
+def title_words(spark, folder):
+    return K.frequent(articles(spark, folder), F.filter(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), 0), lambda w: F.length(w) > 3), 3)
+
+
+@query("semantic_contrast", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+s AS (SELECT e.vec_id, r.vec_id < 12 AS wanted, list_inner_product(e.v, r.v) AS d FROM e JOIN e r ON r.vec_id < 31),
+k AS (SELECT vec_id, wanted, avg(d) AS m FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, wanted ORDER BY d DESC) AS r FROM s) WHERE r <= 3 GROUP BY 1, 2),
+b AS (SELECT vec_id, max(m) FILTER (wanted) AS p, max(m) FILTER (NOT wanted) AS q FROM k GROUP BY 1)
+SELECT vec_id, round(least(greatest(p - CASE WHEN q > 0.7 THEN 0.6 ELSE 0.4 END * q, 0), 1), 6)::DOUBLE AS score FROM b""")
+def semantic_contrast(spark, folder):
+    vectors = read(spark, folder, "embeddings")  # every vector is scored; 12 and 19 of them serve as reference sets
+    out = C.contrast(vectors, vectors.where("vec_id < 12"), vectors.where("vec_id between 12 and 30"))
+    return out.select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("blend_accept", WITH + """, b AS (SELECT id, CASE WHEN priority = 1 THEN score ELSE score * 0.8 + least(wc / 500.0, 1.0) * 0.2 END AS blend FROM scored),
+r AS (SELECT *, row_number() OVER (ORDER BY blend DESC, id) AS r FROM b) SELECT id, round(blend, 6)::DOUBLE AS blend FROM r WHERE blend >= 0.99 OR r <= 15 AND blend >= 0.4""")
+def blend_accept(spark, folder):
+    rows = scored(spark, folder)
+    semantic = F.when(F.col("priority") == 1, 0.0).otherwise(F.least(T.word_count(F.col("content")) / F.lit(500.0), F.lit(1.0)))
+    return C.blend_accept(rows, F.col("score"), semantic, 0.99, 0.4).select("id", F.round("blend", 6).alias("blend"))
+
+
+@query("boosted_filter", WITH + """, b AS (SELECT id, least(CASE WHEN priority = 1 THEN score + 0.4 WHEN priority = 2 THEN score + 0.2 WHEN priority = 4 AND score < 0.7 THEN score * 0.8 ELSE score END, 1.0) AS boosted FROM scored)
+SELECT id, round(boosted, 6)::DOUBLE AS boosted FROM b WHERE boosted >= 0.6 OR (SELECT count(*) FROM b WHERE boosted >= 0.6) = 0""")
+def boosted_filter(spark, folder):
+    return C.boosted_filter(scored(spark, folder), 0.6).select("id", F.round("boosted", 6).alias("boosted"))
+
+
+def _coherence_sql(less: int, t: float) -> str:
+    return f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+n AS (SELECT label, count(*) AS n FROM v GROUP BY 1),
+c AS (SELECT a.vec_id, a.label, sum(list_inner_product(a.e, b.e)) / greatest(any_value(n) - {less}, 1) AS c FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id JOIN n ON n.label = a.label GROUP BY 1, 2),
+k AS (SELECT v.* FROM v JOIN c USING (vec_id) WHERE c >= {0.8 * t}), m AS (SELECT label, count(*) AS n FROM k GROUP BY 1),
+d AS (SELECT a.label, any_value(n) AS kept, sum(list_inner_product(a.e, b.e)) / greatest(any_value(n) - {less}, 1) / any_value(n) AS c FROM k a JOIN k b ON a.label = b.label AND a.vec_id <> b.vec_id JOIN m ON m.label = a.label GROUP BY 1)
+SELECT n.label, n, COALESCE(kept, 0) AS kept, round(COALESCE(c, 0), 6)::DOUBLE AS coherence, COALESCE(kept >= 2 AND c >= {t}, false) AS coherent FROM n LEFT JOIN d USING (label)"""
+
+
+@query("coherence_filter", _coherence_sql(1, 0.2))
+def coherence_filter(spark, folder):
+    return C.coherence(read(spark, folder, "embeddings"), "label", 0.2).withColumn("coherence", F.round("coherence", 6))
+
+
+@query("coherence_parity", _coherence_sql(0, 0.2))
+def coherence_parity(spark, folder):
+    return C.coherence(read(spark, folder, "embeddings"), "label", 0.2, parity=True).withColumn("coherence", F.round("coherence", 6))
+
+
+@query("topic_importance", WITH + """SELECT priority, count(*) AS n, count(DISTINCT source_id) AS sources,
+  round(least(0.4 * least(count(DISTINCT source_id) / 5, 1.0) + 0.2 * least(count(*) / 10, 0.5) + 0.2 * avg(score) + 0.2 * 0.3 * avg(score) + least(0.1 * count(*) FILTER (score > 0.9), 0.3), 1.0), 6)::DOUBLE AS importance FROM scored GROUP BY 1""")
+def topic_importance(spark, folder):
+    return C.importance(scored(spark, folder), "priority", "source_id", "score", "score", F.col("score") > 0.9).withColumn("importance", F.round("importance", 6))
+
+
+@query("topic_first_select", WITH + """, s AS (SELECT id, source_id, round(score, 9) AS score FROM scored), t AS (SELECT source_id FROM s GROUP BY 1 ORDER BY round(avg(score), 9) DESC, source_id LIMIT 2),
+p AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, id) AS r FROM s JOIN t USING (source_id) WHERE score > 0.75) WHERE r <= 3)
+SELECT id, source_id, chosen_by FROM (SELECT *, 'topic' AS chosen_by FROM p UNION ALL BY NAME SELECT *, 'score' AS chosen_by FROM s WHERE id NOT IN (SELECT id FROM p)) ORDER BY chosen_by DESC, score DESC, id LIMIT 12""")
+def topic_first_select(spark, folder):
+    rows = scored(spark, folder).select("id", "source_id", F.round("score", 9).alias("score"))
+    return C.topic_first(rows, "source_id", 2, 3, 0.75, 12).select("id", "source_id", "chosen_by")
+
+
+@query("cluster_cap", WITH + """, s AS (SELECT id, source_id, round(score, 9) AS score FROM scored), g AS (SELECT source_id, round(avg(score), 9) AS m, count(*) AS n FROM s GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, id) AS rank FROM s) SELECT id, source_id, rank FROM r JOIN g USING (source_id) WHERE rank <= 3 ORDER BY m DESC, n DESC, source_id, rank LIMIT 10""")
+def cluster_cap(spark, folder):
+    rows = scored(spark, folder).select("id", "source_id", F.round("score", 9).alias("score"))
+    return C.cluster_cap(rows, "source_id", 3, 10).select("id", "source_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("diverse_sources", WITH + """, s AS (SELECT id, priority, source_id, round(score, 9) AS score FROM scored),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY priority, source_id ORDER BY score DESC, id) AS r FROM s) WHERE r = 1)
+SELECT id, priority, source_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY score DESC, id) AS rank FROM o) WHERE rank <= 3""")
+def diverse_sources(spark, folder):
+    rows = scored(spark, folder).select("id", "priority", "source_id", F.round("score", 9).alias("score"))
+    return C.diverse_sources(rows, "priority", "source_id", 3, F.desc("score"), F.asc("id")).withColumn("rank", F.col("rank").cast("long")).drop("score")
+
+
+@query("citation_score", f"""WITH p AS ({ORACLE_SQL["jaccard_pairs"]}), t AS (SELECT doc_id, {_tags("text")} AS t FROM documents),
+x AS (SELECT a, b, similarity, len(list_intersect(u.t, v.t)) AS c, len(u.t) + len(v.t) - len(list_intersect(u.t, v.t)) AS al FROM p JOIN t u ON u.doc_id = a JOIN t v ON v.doc_id = b)
+SELECT a, b, round(0.7 * similarity + 0.25 * (c + (al - c) * 0.3) / 4 + 0.05 * CASE WHEN similarity > 0.8 THEN -0.3 WHEN similarity > 0.6 THEN -0.1 ELSE 0 END, 5)::DOUBLE AS score FROM x""")
+def citation_score(spark, folder):
+    rows = articles(spark, folder).withColumn("tokens", T.words(F.col("content")))
+    tagged = rows.select("id", C.tags(F.col("content"), DOMAINS).alias("t"))
+    pairs = S.jaccard_pairs(rows, 0.8).withColumn("similarity", F.round("similarity", 6))
+    both = pairs.join(tagged.toDF("a", "ta"), "a").join(tagged.toDF("b", "tb"), "b")
+    score = 0.7 * F.col("similarity") + 0.25 * C.alignment(F.col("ta"), F.col("tb"), len(DOMAINS), 0.3) + 0.05 * C.overlap_penalty(F.col("similarity"))
+    return both.select("a", "b", F.round(score, 5).alias("score"))
+
+
+@query("leader_groups")
+def leader_groups(spark, folder):
+    rows = articles(spark, folder).select("id", T.words(F.col("content")).alias("tokens"))
+    return C.leader_groups(rows, S.jaccard_pairs(rows, 0.63))
+
+
+@query("kmeans_groups")
+def kmeans_groups(spark, folder):
+    return C.kmeans_groups(read(spark, folder, "embeddings"), 10).select("vec_id", "group")
+
+
+@query("keywords", f"""SELECT doc_id, array_to_string(list_concat(list_filter(w, lambda x: x IN ('tion', 'ther')), list_filter(w, lambda x: x NOT IN ('tion', 'ther')))[:3], ',') AS keywords FROM (
+  SELECT doc_id, list_transform(list_filter(list_transform(k, lambda x, i: {{'x': x, 'first': list_position(k, x) = i}}), lambda s: s.first), lambda s: s.x) AS w FROM (
+  SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)})) AS k FROM documents))""")
+def keywords(spark, folder):
+    return read(spark, folder, "documents").select("doc_id", F.array_join(T.keywords(F.col("text"), ["tion", "ther"]), ",").alias("keywords"))
+
+
+@query("doc_metrics", """SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '[.!?]')) AS sentences, len(regexp_extract_all(text, ',')) AS commas, len(regexp_extract_all(text, '[0-9]+')) AS numbers, len(regexp_extract_all(text, '\\b[A-Z][a-z]+')) AS names FROM documents""")
+def doc_metrics(spark, folder):
+    counts = {"sentences": "[.!?]", "commas": ",", "numbers": "[0-9]+", "names": r"\b[A-Z][a-z]+"}
+    return read(spark, folder, "documents").select("doc_id", F.length("text").cast("long").alias("chars"), *[F.regexp_count("text", F.lit(p)).cast("long").alias(n) for n, p in counts.items()])
+
+
+@query("terminology", "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?i)tion', 'TION', 'g'), '(?i)ther', 'THER', 'g')) AS hash FROM documents")
+def terminology(spark, folder):
+    return read(spark, folder, "documents").select("doc_id", F.md5(T.fold(F.col("text"), [(r"(?i)tion", "TION"), (r"(?i)ther", "THER")])).alias("hash"))
+
+
+@query("tidy", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS hash FROM documents")
+def tidy(spark, folder):
+    return read(spark, folder, "documents").select("doc_id", F.md5(T.tidy(F.col("text"))).alias("hash"))
+
+
+@query("file_ids", "SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_-]', '', 'g')[:20] || '_' || md5(url)[:8] AS file_id FROM pages")
+def file_ids(spark, folder):
+    return read(spark, folder, "pages").select("page_id", T.file_id(F.col("url")).alias("file_id"))
+
+
+@query("usage_top", "SELECT user_id, count(*) AS uses, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM events GROUP BY 1 ORDER BY uses DESC, user_id LIMIT 10")
+def usage_top(spark, folder):
+    return K.usage(read(spark, folder, "events"), "user_id", "value", 10).withColumn("mean", F.round("mean", 6))
+
+
+@query("error_summary", """WITH e AS (SELECT * FROM events WHERE event_type = 'error') SELECT user_id, count(*) AS n, count(*) FILTER (ts > (SELECT max(ts) FROM e) - INTERVAL 24 HOUR) AS recent,
+  arg_max(event_id, {'a': ts, 'b': event_id}) AS last FROM e GROUP BY 1""")
+def error_summary(spark, folder):
+    return K.error_summary(read(spark, folder, "events").where("event_type = 'error'"), "user_id", "ts", "event_id", 24)
+
+
+@query("map_totals", "SELECT user_id, unnest(['spent', 'seen']) AS key, unnest([sum(CAST(floor(value) AS BIGINT)), sum(1)])::BIGINT AS total FROM events GROUP BY user_id")
+def map_totals(spark, folder):
+    rows = read(spark, folder, "events").select("user_id", F.create_map(F.lit("spent"), F.floor("value"), F.lit("seen"), F.lit(1).cast("long")).alias("m"))
+    return K.map_totals(rows, "user_id", "m")
+
+
+@query("neighbours", """WITH e AS (SELECT l_partkey AS parent, l_suppkey AS child, sum(l_quantity) AS score FROM lineitem GROUP BY 1, 2)
+SELECT * FROM (SELECT child AS other, 'child' AS direction, score FROM e WHERE parent = 5 UNION ALL SELECT parent, 'parent', score FROM e WHERE child = 5) ORDER BY score DESC, other, direction LIMIT 10""")
+def neighbours(spark, folder):
+    edges = read(spark, folder, "lineitem").groupBy(F.col("l_partkey").alias("parent"), F.col("l_suppkey").alias("child")).agg(F.sum("l_quantity").alias("score"))
+    return K.neighbours(edges, F.lit(5), 10)
+
+
+@query("edges_insert_unique", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def edges_insert_unique(spark, folder):
+    first = read(spark, folder, "events").groupBy("user_id", "event_type", F.expr("ts >= timestamp'2024-01-15'").alias("late")).agg(F.min("event_id").alias("event_id"))
+    old, new = (first.where(c).drop("late") for c in ("not late", "late"))
+    return K.insert_new(old, new, ["user_id", "event_type"])
+
+
+@query("sliding", """WITH w AS (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start, value FROM events) SELECT start, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1""")
+def sliding(spark, folder):
+    return feeds.windowed(read(spark, folder, "events"), "ts", "24 hours", "1 hour", "30 minutes").withColumn("total", F.round("total", 4))

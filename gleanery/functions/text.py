@@ -88,3 +88,31 @@ def cosine(a: Column, b: Column) -> Column:
 
 def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+def fold(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """The text after all rules (pattern, replacement), in their order."""
+    for pattern, to in rules:
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+def tidy(text: Column) -> Column:
+    """No blanks at line ends, at most one empty line in a row, nothing around."""
+    return F.trim(fold(text, [(r"[ \t]+(\n|$)", "$1"), (r"\n{3,}", "\n\n")]))
+
+
+def keywords(text: Column, first: list[str], n: int = 3) -> Column:
+    """The first n different words of over two characters that are no stop words; those in `first` come before the others."""
+    found = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), 0), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS)))
+    return F.slice(F.concat(F.filter(found, lambda w: w.isin(first)), F.filter(found, lambda w: ~w.isin(first))), 1, n)
+
+
+def variables(text: Column) -> Column:
+    """Names in double braces, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\{\{\s*(\w+)\s*\}\}"), 1))
+
+
+def file_id(text: Column) -> Column:
+    """A name that is safe in file names: up to 20 letters, digits, - and _, and a hash of the whole."""
+    return F.concat(F.substring(F.regexp_replace(text, r"[^A-Za-z0-9_-]", ""), 1, 20), F.lit("_"), F.substring(F.md5(text), 1, 8))

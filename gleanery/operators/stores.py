@@ -42,3 +42,27 @@ def neighbours(edges: DataFrame, node: Column, k: int) -> DataFrame:
     down = edges.where(F.col("parent") == node).select(F.col("child").alias("other"), F.lit("child").alias("direction"), "score")
     up = edges.where(F.col("child") == node).select(F.col("parent").alias("other"), F.lit("parent").alias("direction"), "score")
     return down.unionByName(up).orderBy(F.desc("score"), "other", "direction").limit(k)
+
+
+def usage(df: DataFrame, name: str, took: str, n: int) -> DataFrame:
+    """The n most used names: uses, and mean, least and longest duration."""
+    out = df.groupBy(name).agg(F.count("*").alias("uses"), F.avg(took).alias("mean"), F.min(took).alias("low"), F.max(took).alias("high"))
+    return out.orderBy(F.desc("uses"), name).limit(n)
+
+
+def error_summary(errors: DataFrame, operation: str, time: str, key: str, hours: int = 1) -> DataFrame:
+    """Of each operation: all errors, those of the last hours of the table, and the last one's key."""
+    now = errors.agg(F.max(time).alias("_now"))
+    rows = errors.crossJoin(F.broadcast(now))
+    recent = F.count_if(F.col(time) > F.col("_now") - F.expr(f"interval {hours} hours"))
+    return rows.groupBy(operation).agg(F.count("*").alias("n"), recent.alias("recent"), F.max_by(key, F.struct(time, key)).alias("last"))
+
+
+def map_totals(df: DataFrame, group: str, counts: str) -> DataFrame:
+    """Sums by key of a column of maps, for each group."""
+    return df.select(group, F.explode(counts).alias("key", "value")).groupBy(group, "key").agg(F.sum("value").alias("total"))
+
+
+def frequent(df: DataFrame, found: Column, n: int) -> DataFrame:
+    """The n terms in most rows, each counted once a row; ties by name."""
+    return df.select(F.explode(F.array_distinct(found)).alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(n)

@@ -23,7 +23,7 @@ def plain(v):
     return str(v) if v is not None and not isinstance(v, (int, str, bool)) else v
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query(spark, duck, name):
     got = catalog.QUERIES[name](spark, FOLDER)
     columns = sorted(got.columns)
