@@ -470,3 +470,6 @@ def edges_insert_unique(spark, folder):
 @query("sliding", """WITH w AS (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start, value FROM events) SELECT start, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1""")
 def sliding(spark, folder):
     return feeds.windowed(read(spark, folder, "events"), "ts", "24 hours", "1 hour", "30 minutes").withColumn("total", F.round("total", 4))
+
+
+from gleanery import catalog_rules  # noqa: E402, F401  adds its queries

@@ -38,7 +38,7 @@ def meta_image(html: Column) -> Column:
     tags = F.regexp_extract_all(html, F.lit(r"(?is)(<meta\s[^>]*>)"), 1)
     tries = []
     for kind, value in META_IMAGES:
-        first = F.get(F.filter(tags, lambda t, k=kind, v=value: F.coalesce(attribute(t, k) == v, F.lit(False))), F.lit(0))
+        first = F.get(F.filter(tags, lambda t: F.coalesce(attribute(t, kind) == value, F.lit(False))), F.lit(0))  # noqa: B023  called at once
         tries.append(F.coalesce(attribute(first, "content"), attribute(first, "value")))
     return F.coalesce(*tries)
 

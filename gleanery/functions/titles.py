@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,7 +56,8 @@ def clause(text: Column, cues: Sequence[Sequence[str]], low: int = 15, high: int
     parts = F.split(text, f"[{mark}]")
     tries = []
     for group in cues:
-        first = F.trim(F.get(F.filter(parts, lambda s, g=group: any_of(s, g)), F.lit(0)))
+        holds = partial(any_of, terms=group)
+        first = F.trim(F.get(F.filter(parts, lambda s: holds(s)), F.lit(0)))  # noqa: B023  called at once
         tries.append(F.when((F.length(first) > low) & (F.length(first) < high), first))
     return F.coalesce(*tries, F.lit(""))
 
@@ -141,7 +143,7 @@ def summary_points(reply: Column) -> Column:
     """Points of a reply: those of its JSON, whole or between braces; else its bullets; else its sentences of 30 to 300 characters."""
     of = "summary_points array<string>"
     json = F.coalesce(F.from_json(reply, of)["summary_points"], F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), of)["summary_points"])
-    listed = F.transform(F.regexp_extract_all(reply, F.lit(r"(?m)^[ \t]*(?:[-*•・]|\d+[.)])[ \t]*(\S.*)$"), 1), lambda s: F.trim(s))
+    listed = F.transform(F.regexp_extract_all(reply, F.lit(r"(?md)^[ \t]*(?:[-*•・]|\d+[.)])[ \t]*(\S[^\n]*)$"), 1), lambda s: F.trim(s))
     said = F.filter(F.transform(F.split(reply, r"[.!?。！？\n]"), lambda s: F.trim(s)), lambda s: F.length(s).between(30, 300))
     return F.when(F.size(F.coalesce(json, F.array())) > 0, json).when(F.size(listed) > 0, listed).otherwise(said)
 

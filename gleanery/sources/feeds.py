@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DATE_FORMATS = ["EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"]
+DATE_FORMATS = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"]
 
 
 def _field(entry: Column, *tags: str) -> Column:
@@ -29,7 +29,7 @@ def entries(df: DataFrame, source: str, xml: str, now: Column, hours: int, k: in
     found = df.select(source, F.posexplode(F.slice(F.regexp_extract_all(F.col(xml), F.lit(r"(?s)(<(?:item|entry)[\s>].*?</(?:item|entry)>)"), 1), 1, 2 * k)).alias("place", "e"))
     e = F.col("e")
     link = F.coalesce(_field(e, "link"), F.nullif(F.regexp_extract(e, r"""(?s)<link\s[^>]*href\s*=\s*["']([^"']*)["']""", 1), F.lit("")))
-    dated = [F.try_to_timestamp(_field(e, tag), F.lit(f)) for tag in ("pubDate", "published", "updated") for f in DATE_FORMATS]
+    dated = [F.try_to_timestamp(F.regexp_replace(_field(e, tag), r"^[A-Za-z]{3},\s*", ""), F.lit(f)) for tag in ("pubDate", "published", "updated") for f in DATE_FORMATS]
     rows = found.select(
         source,
         "place",
