@@ -20,7 +20,7 @@ from gleanery.llm.common import components, table, written
 SAMPLE = 16_384
 #: Distinct vectors a cell holds on average, and the most centroids in a half of the space.
 A_CELL, MOST_CENTROIDS = 256, 256
-#: Centroids of each half, and cells made of them, that a vector is looked for in.
+#: Centroids of each half, and cells made of them, that a vector is looked for in at least; both grow with the number of cells.
 NEAR_CENTROIDS, PROBES = 6, 12
 SUBSPACES, CODES = 8, 256
 #: Vectors of a cell, and vectors looked for in it, that one task takes at a time; larger cells are split into such blocks.
@@ -53,16 +53,18 @@ class Quantiser:
         k = int(np.clip(round((vectors / A_CELL) ** 0.5), 1, MOST_CENTROIDS))
         self.halves = [slice(0, (dim + 1) // 2), slice((dim + 1) // 2, dim)]
         self.coarse = [_kmeans(sample[:, h], k) for h in self.halves]
+        root = len(self.coarse[0]) ** 0.5  # the fourth root of the number of cells: by this recall holds up to the most cells (tested)
+        self.near, self.probes = max(NEAR_CENTROIDS, int(np.ceil(root))), max(PROBES, int(np.ceil(4 * root)))
         self.parts = [slice(int(p[0]), int(p[-1]) + 1) for p in np.array_split(np.arange(dim), min(SUBSPACES, dim))]
         rest = sample - self.centres(self.cells(sample)[0][:, 0])
         self.fine = [_kmeans(rest[:, p], CODES) for p in self.parts]
 
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The PROBES nearest cells of the NEAR_CENTROIDS nearest centroids of each half, nearest first, and squared distances."""
-        (a, da), (b, db) = (_nearest(x[:, h], c, min(NEAR_CENTROIDS, len(c))) for h, c in zip(self.halves, self.coarse))
+        """The nearest cells, so many as are probed, of the nearest centroids of each half, nearest first, and squared distances."""
+        (a, da), (b, db) = (_nearest(x[:, h], c, min(self.near, len(c))) for h, c in zip(self.halves, self.coarse))
         cell = (a[:, :, None] * len(self.coarse[1]) + b[:, None, :]).reshape(len(x), -1)
         d = (da[:, :, None] + db[:, None, :]).reshape(len(x), -1)
-        best = np.argsort(d, axis=1, kind="stable")[:, :PROBES]
+        best = np.argsort(d, axis=1, kind="stable")[:, : self.probes]
         return np.take_along_axis(cell, best, 1), np.take_along_axis(d, best, 1)
 
     def centres(self, cells: np.ndarray) -> np.ndarray:
@@ -108,7 +110,7 @@ def _matches(q: np.ndarray, x: np.ndarray, q_ids: np.ndarray, x_ids: np.ndarray,
 
 
 def _links_of_dim(classes: DataFrame, dim: int, least: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """((node, n): linked vectors found for each distinct vector, (a, b): edges that connect what the links connect)."""
+    """((node, n): linked vectors found for each distinct vector, whichever of the two was found, (a, b): edges that connect what the links connect)."""
     spark = classes.sparkSession
     total = classes.count()
     sample = classes.select("node", "v").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toArrow().to_pandas()
@@ -157,19 +159,29 @@ def _links_of_dim(classes: DataFrame, dim: int, least: float, block: int) -> tup
                 at, (c, qb, xb), kind = np.concatenate(rows), np.concatenate(keys, axis=1), np.concatenate(kinds)
                 out = part.take(pa.array(at))
                 code = pa.array([None if k else b for k, b in zip(kind.tolist(), out.column(4).to_pylist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(qb), pa.array(xb), pa.array(kind), out.column(0), out.column(1), out.column(2), code, out.column(5)], names=["cell", "qb", "xb", "kind", "node", "n", "v", "code", "err"])
+                cells_ = pa.array([p[:1] if k else p for k, p in zip(kind.tolist(), near[at])], pa.list_(pa.int32()))  # of a vector that is looked for, its own cell
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(qb), pa.array(xb), pa.array(kind), out.column(0), out.column(1), out.column(2), cells_, code, out.column(5)], names=["cell", "qb", "xb", "kind", "node", "n", "v", "probes", "code", "err"])
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         kind, node, n = (t[c].to_numpy() for c in ("kind", "node", "n"))
         v = _unit(_matrix(t["v"].combine_chunks(), dim))
         x, q = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-        a, b, found = [], [], np.zeros(len(q), np.int64)
+        a, b, found, back = [], [], np.zeros(len(q), np.int64), np.zeros(len(x), np.int64)
         if len(x) and len(q):
             codes = np.frombuffer(b"".join(t["code"].take(pa.array(x)).to_pylist()), np.uint8).reshape(len(x), -1)
             label = np.arange(len(x))
+            # A row that isn't itself looked for in a query's own cell would never find the query: it counts it here.
+            homes, home = np.unique(t["probes"].take(pa.array(q)).combine_chunks().flatten().to_numpy(), return_inverse=True)
+            probes = t["probes"].take(pa.array(x)).combine_chunks().flatten().to_numpy().reshape(len(x), -1)
+            at = np.minimum(np.searchsorted(homes, probes), len(homes) - 1)
+            row, place = np.nonzero(homes[at] == probes)
+            finds = np.zeros((len(x), len(homes)), bool)
+            finds[row, at[row, place]] = True
             for qs, xs in _matches(v[q], v[x], node[q], node[x], codes, t["err"].to_numpy()[x], int(t["cell"][0].as_py()), quantiser, least):
                 found += np.bincount(qs, n[x][xs], len(q)).astype(np.int64)
+                alone = ~finds[xs, home[qs]]
+                back += np.bincount(xs[alone], n[q][qs[alone]], len(x)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(qs)) + 1
                 for one, mates in zip(qs[np.concatenate([[0], cuts])] if len(qs) else [], np.split(xs, cuts)):
                     roots = np.unique(label[mates])  # one edge to each part not yet joined
@@ -177,11 +189,12 @@ def _links_of_dim(classes: DataFrame, dim: int, least: float, block: int) -> tup
                     b.extend(node[x[roots]].tolist())
                     if len(roots) > 1:
                         label[np.isin(label, roots)] = roots[0]
-        some = np.flatnonzero(found)
+        ends, totals = np.concatenate([node[q], node[x]]), np.concatenate([found, back])
+        some = np.flatnonzero(totals)
         none = [None] * len(a)
-        return pa.table({"node": pa.array([*node[q[some]].tolist(), *none], pa.int64()), "n": pa.array([*found[some].tolist(), *none], pa.int64()), "a": pa.array([*[None] * len(some), *a], pa.int64()), "b": pa.array([*[None] * len(some), *b], pa.int64())})
+        return pa.table({"node": pa.array([*ends[some].tolist(), *none], pa.int64()), "n": pa.array([*totals[some].tolist(), *none], pa.int64()), "a": pa.array([*[None] * len(some), *a], pa.int64()), "b": pa.array([*[None] * len(some), *b], pa.int64())})
 
-    dealt = placed.mapInArrow(deal, "cell long, qb long, xb long, kind int, node long, n long, v array<double>, code binary, err double")
+    dealt = placed.mapInArrow(deal, "cell long, qb long, xb long, kind int, node long, n long, v array<double>, probes array<int>, code binary, err double")
     got = written(dealt.groupBy("cell", "qb", "xb").applyInArrow(compare, "node long, n long, a long, b long"))
     return got.where("node is not null").groupBy("node").agg(F.sum("n").alias("n")), got.where("a is not null").select("a", "b")
 

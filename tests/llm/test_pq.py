@@ -61,5 +61,22 @@ def test_recall_over_many_cells(spark):
     print("recall", found.sum() / want.sum())
 
 
+def test_links_count_at_both_ends(spark):
+    x = planted(12_000, seed=2)
+    got = {r.vec_id: r.n_links for r in pq.cosine_groups(spark.createDataFrame([(i, v.tolist(), 1, "v", 2) for i, v in enumerate(x)], VECS).repartition(8)).collect()}
+    pairs = [(got[i], got[i + 1]) for i in range(0, 6000, 2)]
+    assert all(a == b for a, b in pairs) and np.mean([a for a, _ in pairs]) >= 0.999
+
+
+def test_probes_hold_up_to_the_most_cells():
+    sample, pairs = planted(pq.SAMPLE, seed=5), planted(8000, seed=9)[:4000]
+    for vectors in (12_000, 262_144, pq.A_CELL * pq.MOST_CENTROIDS**2):
+        near = pq.Quantiser(sample, vectors).cells(pairs)[0]
+        a, b = near[::2], near[1::2]
+        either = (a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)
+        print("cells of", vectors, "vectors, pairs that meet", either.mean())
+        assert either.mean() >= 0.995
+
+
 def test_empty_table(spark):
     assert pq.cosine_groups(spark.createDataFrame([], VECS)).count() == 0
