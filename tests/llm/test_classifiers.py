@@ -57,6 +57,34 @@ def test_toxicity(spark):
         assert model.score(clean) < 0.5, clean
 
 
+HIDDEN = ("gr" + "o" * 40 + "bnak", "-----".join("zwellip"), "ggrroobbnnaakk", "....".join("mopfus"))
+
+
+def test_toxicity_of_long_and_spelled_tokens(spark):
+    docs, labels, *_ = frames(spark)
+    model = toxicity.fit(docs, labels, ~toxicity.held_out())
+    for hidden in HIDDEN:
+        assert model.score(f"the {hidden} there") >= 0.5, hidden
+    for clean in ("there" * 2000, "1/2/2024", "$1,299.00", "er" * 30 + "nn", "-----", "a-b-c-d-e-f-g-h-i-j-k-l-m-n-o-p"):
+        assert model.score(clean) < 0.5, clean
+
+
+def test_training_tokens_are_restored(spark):
+    rows, marks = corpus()
+    rows = [(i, t.replace("grobnak", "gr0-b-n4k")) for i, t in rows]
+    model = toxicity.fit(frame(spark, rows), spark.createDataFrame(marks, LABELS), ~toxicity.held_out())
+    assert model.score("the grobnak there") >= 0.5
+
+
+def test_words_without_letters_are_read(spark):
+    rows, marks = corpus()
+    rows = [(i, t.replace("grobnak", "zoglabs")) for i, t in rows]
+    model = toxicity.fit(frame(spark, rows), spark.createDataFrame(marks, LABELS), ~toxicity.held_out())
+    for hidden in ("206|485", "20gl485", "2.0.6.|.4.8.5"):
+        assert model.score(f"the {hidden} there") >= 0.5, hidden
+    assert model.score("the 108.51.216.133 on 2024-01-02") < 0.5
+
+
 def test_no_rows_and_no_labels(spark):
     docs, labels, *_ = frames(spark)
     none, no_labels = frame(spark, []), spark.createDataFrame([], LABELS)
