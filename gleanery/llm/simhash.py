@@ -222,14 +222,16 @@ def _bucket_edges(t: dict[str, np.ndarray], most: int, names: list[str], need_ow
             yield forest(prints[start : start + n], t["node"][start : start + n], most)
 
 
-def _meet(keyed: DataFrame, names: list[str], most: int, need_own: bool, large: int | None) -> DataFrame:
-    """(a, b, and the prints of members of buckets that are too large) from rows (key, node, prints..., own)."""
+def _meet(keyed: DataFrame, names: list[str], most: int, need_own: bool, large: int | None, tell: bool = False) -> DataFrame:
+    """(a, b, and the prints of members of buckets that are too large) from rows (key, node, prints..., own); tell: the key of these, too."""
+    names = [*names, "key"] if tell else names
     spill = ", ".join(f"{n} long" for n in names)
+    prints = [n for n in names if n != "key"]
     limit = large or (1 << 62)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, whole in _runs(batches, limit):
-            for found in [t] if whole else _bucket_edges(t, most, names, need_own, limit):
+            for found in [t] if whole else _bucket_edges(t, most, prints, need_own, limit):
                 if isinstance(found, dict):
                     none = pa.nulls(len(found["key"]), pa.int64())
                     cols = [pa.array(found["node"]), none, *(pa.array(found[n]) for n in names)]
@@ -300,6 +302,31 @@ def op1_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def _blocks_meet(members: DataFrame, names: list[str], most: int, block: int) -> DataFrame:
+    """(a, b): edges that connect what all links of at most `most` bits within each bucket connect, from rows (key, node, prints...) of large ones.
+
+    Every two blocks of a bucket, of about `block` members each, are compared whole in a task of their own; nothing but the time of a bucket grows
+    with its members' square. Where the buckets' pairs outnumber those of all their distinct members, these are taken as one bucket.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    alone = members.select("node", *names).distinct()
+    of_keys, n = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0, alone.count()
+    if of_keys > n * n:
+        members = alone.withColumn("key", F.lit(0).cast("long"))
+        sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    cut = sizes.select(F.col("key").alias("of"), F.ceil(F.col("n") / F.lit(block)).cast("long").alias("m"))
+    placed = members.join(cut, F.col("key") == F.col("of")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("m")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("j")
+    both = placed.select("key", "m", "i", "node", *names, other).select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "m", "node", *names).where("m = 1 or x != y").drop("m")
+
+    def go(t: pa.Table) -> pa.Table:
+        prints = np.stack([t[n].to_numpy() for n in names], axis=1).view(np.uint64)
+        a, b = forest(prints, t["node"].to_numpy(), most)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return both.groupBy("key", "x", "y").applyInArrow(go, "a long, b long")
+
+
 # --- near copies at a similarity, for the pipeline --------------------------------------------------------------------
 
 #: 192 bits: eight Golay words of 23 bits; the words of a pair make one key.
@@ -345,7 +372,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     agrees in at least `similarity` of its bits; component_id is the smallest doc_id of the group that such links connect.
 
     Null and empty texts, and those of blanks, are copies of each other. Rows with null id are left out. Repeated ids and rows are kept. Buckets
-    of over `large` members are dealt out again by further words of the fingerprint and compared there.
+    of over `large` members are compared whole too, by pairs of blocks.
     """
     names = [f"fp{k}" for k in range(WIDE)]
     most = int(64 * WIDE * (1 - similarity) + 1e-9)
@@ -370,14 +397,11 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     # Margins of equal fingerprints may differ: each fingerprint takes the keys of the smallest id that has it.
     nodes = written(made.groupBy(*names).agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys")))
     keyed = nodes.select(F.explode(F.col("keys").cast("array<long>")).alias("key"), "node", *names)
-    met = written(_meet(keyed, names, most, False, large))
+    met = written(_meet(keyed, names, most, False, large, tell=True))
     edges = met.where("b is not null").select("a", "b")
-    rest = met.where("b is null").select(F.col("a").alias("node"), *names).distinct()
+    rest = met.where("b is null").select("key", F.col("a").alias("node"), *names)
     if not rest.isEmpty():
-        # Large buckets: by each 16 bits of the fingerprint; a bucket of these is compared whole.
-        bits = [F.shiftrightunsigned(n, s).bitwiseAND(F.lit(0xFFFF)) + F.lit((k * 4 + s // 16) << 16) for k, n in enumerate(names) for s in (0, 16, 32, 48)]
-        again = rest.select(F.explode(F.array(*bits)).alias("key"), "node", *names)
-        edges = edges.union(_meet(again, names, most, False, None).select("a", "b"))
+        edges = edges.union(_blocks_meet(rest, names, most, max(1, large // 2)))
     parts = components(edges)
     named = nodes.join(parts, "node", "left").select(*(F.col(n).alias(f"_{n}") for n in names), F.coalesce("component", "node").alias("component_id"))
     same = [made[n] == named[f"_{n}"] for n in names]

@@ -107,3 +107,47 @@ def test_near_copies_of_odd_rows(spark):
         assert len(got) == sum(i is not None for i, _ in rows)
         assert {c for i, c in got if i in (1, 2, 3, 7)} == {1}
         assert {c for i, c in got if i in (5, 6)} == {5}
+
+
+def test_large_buckets_lose_no_links(spark):
+    """Pairs that differ in a bit or more of every 16 of the fingerprint, all in one large bucket, against all pairs."""
+    rng = np.random.default_rng(4)
+    prints = rng.integers(0, 1 << 62, (400, simhash.WIDE)).astype(np.uint64)
+    near = prints.copy()
+    for k in range(simhash.WIDE):
+        for at in (0, 16, 32, 48):
+            near[:, k] ^= np.uint64(1) << (rng.integers(0, 16, 400) + at).astype(np.uint64)
+    both = np.concatenate([prints, near])
+    names = [f"fp{k}" for k in range(simhash.WIDE)]
+    rows = [(key, node, *p) for key in (5, 6) for node, p in enumerate(both.view(np.int64).tolist())]
+    members = spark.createDataFrame(rows, f"key long, node long, {', '.join(f'{n} long' for n in names)}")
+    for frame_ in (members, members.where("key = 5 or node % 10 < 3")):
+        got = {(min(r), max(r)) for r in simhash._blocks_meet(frame_, names, 38, 60).collect()}
+        assert got == {(i, i + 400) for i in range(400)}
+
+
+def near_pairs(docs, seed):
+    """Texts with a copy each of as many changed words as leave 0.8 of the five-word shingles alike."""
+    rng, rows, pairs = np.random.default_rng(seed), [], []
+    for i, t in docs:
+        w = t.split()
+        while True:
+            c = w.copy()
+            c[rng.integers(len(c))] = f"q{rng.integers(1e6)}"
+            a, b = shingles(t), shingles(" ".join(c))
+            if len(a & b) / len(a | b) < 0.8:
+                break
+            w = c
+        rows += [(i, t), (10_000 + i, " ".join(w))]
+        pairs.append((i, 10_000 + i))
+    return rows, pairs
+
+
+def test_large_buckets_link_as_small_ones_do(spark):
+    rows, pairs = near_pairs([(i, t) for i, t in docs_of(spark) if 60 < len(t.split()) < 600][:120], 1)
+    found = []
+    for large in (simhash.LARGE, 3):
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows), large=large).collect()}
+        found.append({p for p in pairs if got[p[0]] == got[p[1]]})
+    print("near pairs alone", len(found[0]) / len(pairs), "with large buckets", len(found[1]) / len(pairs))
+    assert found[0] <= found[1]
