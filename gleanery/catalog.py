@@ -197,6 +197,16 @@ def knn_topk(spark, folder):
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("knn_every_50th", """WITH s AS (SELECT q.vec_id AS query_id, b.vec_id, list_inner_product(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) AS sim
+  FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s WHERE sim >= 0.2)
+SELECT query_id, rank, vec_id, round(sim, 6) AS similarity FROM r WHERE rank <= 5""")
+def knn_every_50th(spark, folder):
+    vectors = read(spark, folder, "embeddings")
+    out = S.knn(vectors.where("vec_id % 50 = 0"), vectors, 5, 0.2)
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("cluster_confidence", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 p AS (SELECT a.label, avg(list_inner_product(a.e, b.e)) AS c FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1)
 SELECT label, (SELECT count(*) FROM v WHERE v.label = p.label) AS n, round(c, 6) AS confidence FROM p""")
