@@ -31,7 +31,18 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/gleanery/{uuid.uuid4().hex}"
     out = df.write.option("compression", "zstd")
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.written_to = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once nothing reads them any more; what it didn't make is left alone."""
+    for df in tables:
+        if path := getattr(df, "written_to", None):
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def crc32_of_id(doc_id: str) -> Column:
@@ -43,13 +54,13 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge (a, b) of longs that has another end; component is the smallest node reachable.
 
     Alternating large-star and small-star steps: each step joins the edges with one smallest neighbour per node, so that no group of neighbours
-    is ever gathered in a task; hot nodes are split by the skew join. Edges with a null end and loops are left out. Every round is written.
+    is ever gathered in a task; hot nodes are split by the skew join. Edges with a null end and loops are left out. Every round is written; earlier rounds are deleted.
     """
     rows = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a != b")
     rows = written(rows.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while (now := _signature(rows)) != seen:
-        seen = now
+        seen, before = now, rows
         both = rows.union(rows.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.join(least, both.u == least.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -57,6 +68,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(least, large.u == least.k).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         rows = written(small.union(least.select("k", "m")).distinct())
+        discard(before, large)
     return rows.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
