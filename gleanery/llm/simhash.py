@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import golay
-from gleanery.llm.common import components, table, written
+from gleanery.llm.common import components, discard, table, written
 
 SEED = 42
 #: Shingles that are hashed at a time, so that memory stays bounded on very long texts.
@@ -36,11 +36,8 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def bit_sums(text: bytes, words: int, n64: int, once: bool = False) -> tuple[np.ndarray, int]:
-    """How many shingles have each bit set, most significant bit of the first 64 first, and how many shingles there are.
-
-    once: equal shingles count once, as in set similarity; else each time.
-    """
+def bit_sums(text: bytes, words: int, n64: int) -> tuple[np.ndarray, int]:
+    """How many shingles have each bit set, most significant bit of the first 64 first, and how many shingles there are; repeats count each time."""
     sums, total = np.zeros(64 * n64, np.int64), 0
     tokens = text.lower().split()
     if not tokens:
@@ -54,14 +51,10 @@ def bit_sums(text: bytes, words: int, n64: int, once: bool = False) -> tuple[np.
         starts, ends = starts[:1], ends[-1:]
     line = b" ".join(tokens)
     digest = xxhash.xxh64_intdigest
-    if once:
-        hashes = np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts)))
-        blocks = (hashes[i : i + AT_ONCE] for i in range(0, len(hashes), AT_ONCE))
-    else:
-        blocks = (
-            np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[i : i + AT_ONCE].tolist(), ends[i : i + AT_ONCE].tolist())), np.uint64, len(starts[i : i + AT_ONCE]))
-            for i in range(0, len(starts), AT_ONCE)
-        )
+    blocks = (
+        np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[i : i + AT_ONCE].tolist(), ends[i : i + AT_ONCE].tolist())), np.uint64, len(starts[i : i + AT_ONCE]))
+        for i in range(0, len(starts), AT_ONCE)
+    )
     for h in blocks:
         total += len(h)
         for k in range(n64):
@@ -169,6 +162,28 @@ def forest(prints: np.ndarray, nodes: np.ndarray, most: int) -> tuple[np.ndarray
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+def shortest(prints: np.ndarray, nodes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, differing bits) of a shortest spanning forest of the links of at most `most` differing bits within one bucket: each member is joined
+    to the nearest of those joined before it. Memory is in proportion to the members."""
+    left, a, b, bits = np.arange(1, len(nodes)), [], [], []
+    best, by, at = np.full(len(left), 1 << 30), np.zeros(len(left), np.int64), 0
+    while len(left):
+        d = np.bitwise_count(prints[left] ^ prints[at]).sum(1, dtype=np.int64)
+        nearer = d < best
+        best[nearer], by[nearer] = d[nearer], at
+        i = int(np.argmin(best))
+        at = int(left[i])
+        if best[i] <= most:
+            a.append(nodes[by[i]])
+            b.append(nodes[at])
+            bits.append(best[i])
+        else:  # nothing left is near what is joined: a new tree
+            best[:] = 1 << 30
+        keep = np.arange(len(left)) != i
+        left, best, by = left[keep], best[keep], by[keep]
+    return np.array(a, np.int64), np.array(b, np.int64), np.array(bits, np.int64)
+
+
 def _runs(batches: Iterator[pa.RecordBatch], large: int) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
     """Cuts rows sorted by key into tables of whole buckets; a bucket of over `large` rows comes alone, in pieces marked True."""
     held: list[dict[str, np.ndarray]] = []
@@ -203,8 +218,9 @@ def _runs(batches: Iterator[pa.RecordBatch], large: int) -> Iterator[tuple[dict[
         yield held[0], deep is not None and held[0]["key"][0] == deep
 
 
-def _bucket_edges(t: dict[str, np.ndarray], most: int, names: list[str], need_own: bool, large: int) -> Iterator[tuple[np.ndarray, np.ndarray] | dict]:
-    """Edges of all buckets of a table sorted by key; a bucket of over `large` members is given back as it is."""
+def _bucket_edges(t: dict[str, np.ndarray], most: int, names: list[str], need_own: bool, large: int, tree=forest) -> Iterator[tuple[np.ndarray, ...] | dict]:
+    """Edges of all buckets of a table sorted by key; a bucket of over `large` members is given back as it is. tree: forest, or shortest, with
+    which edges have their differing bits."""
     key = t["key"]
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.append(cuts, len(key)))
@@ -213,37 +229,37 @@ def _bucket_edges(t: dict[str, np.ndarray], most: int, names: list[str], need_ow
     has = np.add.reduceat(own, cuts) > 0
     pairs = (sizes == 2) & has
     i = cuts[pairs]
-    near = np.bitwise_count(prints[i] ^ prints[i + 1]).sum(1, dtype=np.int64) <= most
-    yield t["node"][i[near]], t["node"][i[near] + 1]
+    bits = np.bitwise_count(prints[i] ^ prints[i + 1]).sum(1, dtype=np.int64)
+    near = bits <= most
+    yield (t["node"][i[near]], t["node"][i[near] + 1], bits[near])[: 3 if tree is shortest else 2]
     for start, n in zip(cuts[(sizes > 2) & has].tolist(), sizes[(sizes > 2) & has].tolist()):
         if n > large:
             yield {k: v[start : start + n] for k, v in t.items()}
         else:
-            yield forest(prints[start : start + n], t["node"][start : start + n], most)
+            yield tree(prints[start : start + n], t["node"][start : start + n], most)
 
 
-def _meet(keyed: DataFrame, names: list[str], most: int, need_own: bool, large: int | None, tell: bool = False) -> DataFrame:
-    """(a, b, and the prints of members of buckets that are too large) from rows (key, node, prints..., own); tell: the key of these, too."""
-    names = [*names, "key"] if tell else names
+def _meet(keyed: DataFrame, names: list[str], most: int, need_own: bool, large: int | None, tree=forest) -> DataFrame:
+    """(a, b, bits, and the prints and key of members of buckets that are too large) from rows (key, node, prints..., own); bits: see shortest()."""
+    prints, names = names, [*names, "key"]
     spill = ", ".join(f"{n} long" for n in names)
-    prints = [n for n in names if n != "key"]
     limit = large or (1 << 62)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, whole in _runs(batches, limit):
-            for found in [t] if whole else _bucket_edges(t, most, prints, need_own, limit):
+            for found in [t] if whole else _bucket_edges(t, most, prints, need_own, limit, tree):
                 if isinstance(found, dict):
                     none = pa.nulls(len(found["key"]), pa.int64())
-                    cols = [pa.array(found["node"]), none, *(pa.array(found[n]) for n in names)]
+                    cols = [pa.array(found["node"]), none, none, *(pa.array(found[n]) for n in names)]
                 elif len(found[0]):
                     none = pa.nulls(len(found[0]), pa.int64())
-                    cols = [pa.array(found[0]), pa.array(found[1]), *[none] * len(names)]
+                    cols = [pa.array(found[0]), pa.array(found[1]), pa.array(found[2]) if len(found) > 2 else none, *[none] * len(names)]
                 else:
                     continue
-                yield pa.RecordBatch.from_arrays(cols, names=["a", "b", *names])
+                yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "bits", *names])
 
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(go, f"a long, b long, {spill}")
+    return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(go, f"a long, b long, bits long, {spill}")
 
 
 def links_of(nodes: DataFrame, large: int = LARGE, most: int = 3) -> DataFrame:
@@ -303,7 +319,7 @@ def op1_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks_meet(members: DataFrame, names: list[str], most: int, block: int) -> DataFrame:
-    """(a, b): edges that connect what all links of at most `most` bits within each bucket connect, from rows (key, node, prints...) of large ones.
+    """(a, b, bits): edges that connect what all links of at most `most` bits within each bucket connect, from rows (key, node, prints...) of large ones.
 
     Every two blocks of a bucket, of about `block` members each, are compared whole in a task of their own; nothing but the time of a bucket grows
     with its members' square. Where the buckets' pairs outnumber those of all their distinct members, these are taken as one bucket.
@@ -321,10 +337,9 @@ def _blocks_meet(members: DataFrame, names: list[str], most: int, block: int) ->
 
     def go(t: pa.Table) -> pa.Table:
         prints = np.stack([t[n].to_numpy() for n in names], axis=1).view(np.uint64)
-        a, b = forest(prints, t["node"].to_numpy(), most)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.table(dict(zip(("a", "b", "bits"), map(pa.array, shortest(prints, t["node"].to_numpy(), most)))))
 
-    return both.groupBy("key", "x", "y").applyInArrow(go, "a long, b long")
+    return both.groupBy("key", "x", "y").applyInArrow(go, "a long, b long, bits long")
 
 
 # --- near copies at a similarity, for the pipeline --------------------------------------------------------------------
@@ -332,6 +347,8 @@ def _blocks_meet(members: DataFrame, names: list[str], most: int, block: int) ->
 #: 192 bits: eight Golay words of 23 bits; the words of a pair make one key.
 WIDE = 3
 WORD_PAIRS = ((0, 1), (2, 3), (4, 5))
+#: Share of the bits by which candidates may agree less than texts of the wanted similarity do on average.
+SPARE = 0.075
 #: The least sure bits of a word, which are tried both ways, and the likeliest codeword pairs kept for a pair of words.
 UNSURE, LIKELIEST = 4, 64
 
@@ -367,42 +384,120 @@ def likely_keys(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, large: int = LARGE) -> DataFrame:
-    """(doc_id, component_id) for the rows with an id: near copies are texts whose 192-bit SimHash over word shingles (equal shingles once)
-    agrees in at least `similarity` of its bits; component_id is the smallest doc_id of the group that such links connect.
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order; a text of fewer words is one shingle, one of none has none."""
+    tokens = text.lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    if len(tokens) > words:
+        starts, ends = starts[: len(tokens) - words + 1], ends[words - 1 :]
+    else:
+        starts, ends = starts[:1], ends[-1:]
+    line, digest = b" ".join(tokens), xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts)))
 
-    Null and empty texts, and those of blanks, are copies of each other. Rows with null id are left out. Repeated ids and rows are kept. Buckets
-    of over `large` members are compared whole too, by pairs of blocks.
+
+def _margins(h: np.ndarray) -> np.ndarray:
+    """float[192]: by bit, how far the number of hashes that have it is from half of all."""
+    sums = np.zeros(64 * WIDE, np.int64)
+    for i in range(0, len(h), AT_ONCE):
+        part = h[i : i + AT_ONCE]
+        for k in range(WIDE):
+            octets = _mixed(part, k).byteswap().view(np.uint8).reshape(len(part), 8)
+            sums[64 * k : 64 * k + 64] += np.unpackbits(octets, axis=1).sum(0, dtype=np.int32)
+    return (2.0 * sums - len(h)) / max(len(h), 1) ** 0.5
+
+
+def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose sets (node, hashes: binary of sorted distinct uint32) have a Jaccard similarity of at least `similarity`."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good[i] = both >= similarity * (len(x) + len(y) - both) - 1e-9
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    one = edges.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    both = one.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, large: int = LARGE, row: str | None = None) -> DataFrame:
+    """(row if named, doc_id, component_id, first): a row for each row of docs.
+
+    Links join texts whose sets of word shingles have a Jaccard similarity of at least `similarity`, checked on the sets. Candidates are texts whose
+    192-bit SimHash agrees in nearly as many bits as such texts' do on average (SPARE fewer) and that share a key; within a key's bucket each
+    text is paired with the nearest joined before it. First each text's nearest candidate is checked, then all that would join groups not
+    yet one. component_id is the smallest doc_id of the group that links connect; first marks one row of each group: that of smallest id (rows
+    without an id last), then text, then row (a unique long; without it rows of equal id and text are all marked).
+
+    Null and empty texts, and those of blanks, are copies of each other. Repeated ids are kept apart by their texts. Buckets of over `large`
+    members are compared whole too, by pairs of blocks. An empty table gives an empty result. Other columns are left out.
     """
     names = [f"fp{k}" for k in range(WIDE)]
-    most = int(64 * WIDE * (1 - similarity) + 1e-9)
+    cosine = 2 * similarity / (1 + similarity)  # of two sets of equal size
+    most = int(64 * WIDE * (np.arccos(cosine) / np.pi + SPARE))
+    key = F.col(row).cast("long") if row else F.lit(0).cast("long")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = golay.index_table()
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                margins = np.zeros((part.num_rows, 64 * WIDE))
-                for r, body in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
-                    sums, n = bit_sums(body or b"", words, WIDE, once=True)
-                    margins[r] = (2.0 * sums - n) / max(n, 1) ** 0.5
+                margins, ids = np.zeros((part.num_rows, 64 * WIDE)), np.zeros((2, part.num_rows), np.uint64)
+                for r, body in enumerate(part.column(2).cast(pa.binary()).to_pylist()):
+                    h = shingle_hashes(body or b"", words)
+                    margins[r], ids[:, r] = _margins(h), (xxhash.xxh64_intdigest(h.tobytes()), xxhash.xxh64_intdigest(body or b""))
                 prints = _packed(margins > 0).view(np.int64)
                 rows, keys = likely_keys(margins, code)
                 order = np.argsort(rows, kind="stable")
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[order], np.arange(part.num_rows + 1)).astype(np.int32)), pa.array(keys[order].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(WIDE)), lists], names=["doc_id", *names, "keys"])
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    made = written(rows.mapInArrow(make, f"doc_id long, {', '.join(f'{n} long' for n in names)}, keys array<int>"))
-    # Margins of equal fingerprints may differ: each fingerprint takes the keys of the smallest id that has it.
-    nodes = written(made.groupBy(*names).agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys")))
+                columns = [*(pa.array(x.view(np.int64)) for x in ids), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(WIDE)), lists]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["row", "doc_id", "set", "body", *names, "keys"])
+
+    rows = docs.select(key.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    made = written(rows.mapInArrow(make, f"row long, doc_id long, set long, body long, {', '.join(f'{n} long' for n in names)}, keys array<int>"))
+    # Equal sets are one node; its texts have the same fingerprint and keys. It is read again from the text of one of its rows.
+    same = ["set", *names]
+    nodes = made.groupBy(*same).agg(F.min(F.struct("doc_id", "row", "body")).alias("of"), F.first("keys").alias("keys"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
     keyed = nodes.select(F.explode(F.col("keys").cast("array<long>")).alias("key"), "node", *names)
-    met = written(_meet(keyed, names, most, False, large, tell=True))
-    edges = met.where("b is not null").select("a", "b")
+    met = written(_meet(keyed, names, most, False, large, shortest))
+    edges = met.where("b is not null").select("a", "b", "bits")
     rest = met.where("b is null").select("key", F.col("a").alias("node"), *names)
     if not rest.isEmpty():
         edges = edges.union(_blocks_meet(rest, names, most, max(1, large // 2)))
-    parts = components(edges)
-    named = nodes.join(parts, "node", "left").select(*(F.col(n).alias(f"_{n}") for n in names), F.coalesce("component", "node").alias("component_id"))
-    same = [made[n] == named[f"_{n}"] for n in names]
-    return made.join(named, same, "left").select("doc_id", "component_id")
+    edges = written(edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("bits").alias("bits")))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_hashes(t or b"", words) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            sets = pa.array([np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([xxhash.xxh64_intdigest(h.tobytes()) for h in found], pa.uint64()).view(pa.int64()), sets], names=["row", "doc_id", "set", "hashes"])
+
+    asked = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "set", F.col("of.doc_id").alias("doc_id"), F.col("of.row").alias("row")), "node")
+    texts = rows.join(asked.select(F.col("row").alias("r"), F.col("doc_id").alias("d")).distinct(), (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    sets = texts.mapInArrow(hashes, "row long, doc_id long, set long, hashes binary").withColumnsRenamed({"row": "r", "doc_id": "d", "set": "s"})
+    sets = sets.join(asked, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("set") == F.col("s")))
+    sets = written(sets.groupBy("node").agg(F.first("hashes").alias("hashes")))
+    # Each node's nearest candidate, then whatever joins groups that aren't one yet.
+    ends = edges.select("a", "b", F.posexplode(F.array("a", "b")).alias("end", "node"), "bits")
+    nearest = ends.groupBy("node").agg(F.min(F.struct("bits", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
+    links = written(similar(nearest, sets, similarity))
+    label = written(components(links))
+    of = lambda end: label.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    apart = edges.join(nearest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    label = components(links.union(similar(apart, sets, similarity)))
+    named = nodes.join(label, "node", "left").select(*(F.col(n).alias(f"_{n}") for n in same), F.coalesce("component", "node").alias("group"))
+    grouped = written(made.drop("keys").join(named, [made[n] == named[f"_{n}"] for n in same]).select("row", "doc_id", "body", "group"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "body", "row")
+    firsts = grouped.groupBy(F.col("group").alias("g")).agg(F.min("doc_id").alias("component_id"), F.min(order).alias("order"))
+    out = grouped.join(firsts, F.col("group") == F.col("g")).select("row", "doc_id", "component_id", (order == F.col("order")).alias("first"))
+    discard(made, nodes, met, edges, sets, links)
+    return out if row else out.drop("row")

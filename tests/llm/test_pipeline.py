@@ -32,3 +32,30 @@ def test_stages(spark, tmp_path):
 
 def test_corpus_is_as_marked():
     assert len(corpus()[0]) == 600
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated ids with different texts, repeated rows, rows without an id: no text is lost and none stays twice."""
+    from collections import Counter
+
+    from tests.llm.cases import ODD, frame
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = b + " more"
+    docs = frame(spark, [(1, a), (5, a), (5, b), (9, near), (9, near), (None, "alone here"), (None, a), (7, "last"), (7, "last")])
+    for parts in (1, 4):
+        got = corpus_pipeline.one_of_each(spark, docs.repartition(parts), "")
+        assert got.columns == docs.columns
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, a), (5, b), (None, "alone here"), (7, "last")])
+    odd = Counter((r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, frame(spark, ODD), "").collect())
+    assert odd == Counter({(1, None): 1, (4, "one"): 1, (5, "one two"): 1, (8, "word " * 40_000): 1, **{r: 1 for r in ODD[10:13]}})
+    assert corpus_pipeline.one_of_each(spark, frame(spark, []), "").count() == 0
+
+
+def test_empty_tables(spark, tmp_path):
+    from tests.llm.cases import frame
+
+    folder = f"file://{tmp_path}"
+    frame(spark, []).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
