@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import base64
+import itertools
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,20 +32,35 @@ class Ids(dict):
     """Token ids of texts, as little-endian uint32 bytes, by the byte-level BPE vocabulary of the public file byte_bpe_50k.
 
     That vocabulary never joins a text's parts across a space that follows a character that is no white space, so such parts are encoded
-    once each and remembered. A text with a space after white space is encoded whole. The ids equal those that the library tokenizers gives
-    with the file byte_bpe_50k.json, special tokens' strings being ordinary text (tested).
+    once each and remembered. A text with a space after white space is encoded whole. The vocabulary's added token is cut out first, as it is one id
+    wherever it stands. The ids equal those that the library tokenizers gives with the file byte_bpe_50k.json (tested); that library itself encodes
+    what is too much for the faster one, as a million blanks running are.
     """
 
-    def __init__(self, ranks_path: str | None = None) -> None:
+    def __init__(self, ranks_path: str | None = None, json_path: str | None = None) -> None:
         import public_tokenizers
         import tiktoken
 
         with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
+        with open(self.json_path) as f:
+            self.added = {t["content"]: struct.pack("<I", t["id"]) for t in json.load(f)["added_tokens"]}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.slow = None
         self.bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def plain(self, text: str) -> bytes:
-        ids = self.bpe.encode_ordinary(text)
+        try:
+            ids = self.bpe.encode_ordinary(text)
+        except BaseException as e:  # the fast library's own panic isn't an Exception
+            if type(e).__name__ != "PanicException":
+                raise
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.json_path)
+            ids = self.slow.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, part: str) -> bytes:
@@ -54,6 +72,11 @@ class Ids(dict):
         return ids
 
     def of(self, text: str) -> bytes:
+        if self.cut and self.cut.search(text):
+            return b"".join(self.added[t] if t in self.added else self.ordinary(t) for t in self.cut.split(text) if t)
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
         first, *parts = text.split(" ")
         if parts and first and first[-1].isspace():
             return self.plain(text)
@@ -146,7 +169,7 @@ def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), types)], names=names)
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 1024, windows: int = 64, slack: int = 4, ranks_path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 1024, windows: int = 64, slack: int = 4, ranks_path: str | None = None, json_path: str | None = None) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its token ids and then id 0; null and empty texts are that id alone. Every id lies in exactly one piece; a sequence's pieces
@@ -161,7 +184,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: in
         from pyspark import TaskContext
 
         here = TaskContext.get().partitionId()
-        packer, ids = Packer(length, windows, slack, here << 33), Ids(ranks_path)
+        packer, ids = Packer(length, windows, slack, here << 33), Ids(ranks_path, json_path)
         names, types = [*NAMES, "part", "ids"], [*numbers, pa.int64(), pa.binary()]
         for batch in batches:
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -176,12 +199,10 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: in
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["part"], r["doc_id"] is None, r["doc_id"], r["start"]))
         packer = Packer(length, 1, 0, 0)
-        while rows:  # one group of parts after the other
-            group = rows[0]["part"] // MERGED
+        for group, those in itertools.groupby(rows, key=lambda r: r["part"] // MERGED):  # one group of parts after the other
             packer.next_id = (1 << 62) | (group << 20)
             window = Window()
-            while rows and rows[0]["part"] // MERGED == group:
-                r = rows.pop(0)
+            for r in those:
                 window.put(r["doc_id"], r["start"], r["ids"], r["doc_tokens"])
             packer.open = [window]
             if left := packer.merge():

@@ -8,12 +8,11 @@ from tokenizers import Tokenizer
 from gleanery.llm import packing
 from tests.llm.cases import ODD, docs_of, frame
 
-TEXTS = ["a  b", " a", "  a", "a ", "a  ", "a \n b", "\n a", "x  y", "x  y", "don't 's 3.14 ", "é　 漢", "a\tb \t c", "", " ", "\n", "<|endoftext|> <|endoftext|>", "end.\nNext 12 34 !!\n"]
+TEXTS = ["a  b", " a", "  a", "a ", "a  ", "a \n b", "\n a", "x  y", "x  y", "don't 's 3.14 ", "é　 漢", "a\tb \t c", "", " ", "\n", "<|endoftext|> <|endoftext|>", "a<|endoftext|>b  <|endoftext|><|endoftext|> c", "<|endoftext", " " * 1_000_000, "a" + "\n" * 1_200_000 + "b <|endoftext|>", "end.\nNext 12 34 !!\n"]
 
 
 def reference():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
