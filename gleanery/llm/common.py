@@ -26,10 +26,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """The same rows, read again from a table in the shared folder: it cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/gleanery/{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
+def written(df: DataFrame, partition_by: str | None = None, add_to: str | None = None) -> DataFrame:
+    """The same rows, read again from a table in the shared folder: it cuts the lineage and survives lost executors. add_to: after the rows of the
+    table there, one that was made before."""
+    path = add_to or f"{shared_folder(df.sparkSession)}/gleanery/{uuid.uuid4().hex}"
+    out = df.write.mode("append").option("compression", "zstd")
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     made.written_to = path
@@ -45,6 +46,20 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, learn: Column, sample: int, doc_id: str, text: str, label: str) -> DataFrame:
+    """(_key, _label, _text): at most `sample` labelled texts to learn from, of ids that `learn` admits; those of the smallest hashes.
+
+    Labels other than 0 and 1, null ids and ids without a document are left out. A repeated id takes its larger label; a row that repeats an id and
+    its text counts once, so that the bound holds whatever is repeated. _key is a hash of id and text.
+    """
+    picked = labels.where(learn & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
+    picked = picked.where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(sample)  # so many short rows at most
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(picked), "_id").select(F.xxhash64("_id", "_text").alias("_key"), "_label", "_text")
+    last = rows.select("_key").distinct().orderBy("_key").limit(sample).agg(F.max("_key")).first()[0]
+    kept = rows.where(F.col("_key") <= F.lit(last)) if last is not None else rows.limit(0)
+    return written(kept.groupBy("_key").agg(F.first("_label").alias("_label"), F.first("_text").alias("_text")))
+
+
 def crc32_of_id(doc_id: str) -> Column:
     """crc32 of an id's decimal text; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))

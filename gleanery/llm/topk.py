@@ -12,19 +12,43 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import table, written
 
 #: Queries that are searched for at a time (about; they are dealt by a hash): what the driver and each task hold of them.
-BLOCK = 1024
+BLOCK = 4096
 BINS = 256
 #: Vectors that a task scores at a time.
-AT_ONCE = 2048
-#: Components whose scaled value is this or more can't be scored in 64 bits for certain.
-TOO_LARGE = 1 << 24
+AT_ONCE = 256
+#: Scores of this size or more are refused with an error.
+TOO_LARGE = 1 << 62
 
 
 def scaled(embedding: str, factor: int = 256) -> Column:
-    """Each component x as floor(factor * x), a long; null for a vector that is null, empty, or holds a component null, not finite or too large."""
+    """Each component x as floor(factor * x), a whole number as double; null for a vector that is null, empty, or holds a component null or not finite."""
     x = F.col(embedding).cast("array<double>")
-    fine = F.forall(x, lambda c: F.coalesce(F.abs(c * factor) < TOO_LARGE, F.lit(False)) & ~F.isnan(F.coalesce(c, F.lit(float("nan")))))
-    return F.when(fine & (F.size(x) > 0), F.transform(x, lambda c: F.floor(c * factor).cast("int")))
+    fine = F.forall(x, lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False)) & ~F.isnan(F.coalesce(c, F.lit(float("nan")))))
+    # From 2^53 on a double is whole as it is.
+    return F.when(fine & (F.size(x) > 0), F.transform(x, lambda c: F.when(F.abs(c * factor) < 2.0**53, F.floor(c * factor).cast("double")).otherwise(c * factor)))
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Python integers of whole doubles of any size."""
+    return np.array([[int(v) for v in row] for row in x.tolist()], object).reshape(x.shape)
+
+
+def _products(x: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """int64[rows, queries]: inner products of whole numbers, exact whatever their size."""
+    dim = queries.shape[1]
+    of_row, of_query = (np.abs(m).max(axis=1, initial=1) for m in (x, queries))
+    if of_row.max(initial=1) * of_query.max(initial=1) * dim < 2**53:  # sums are whole numbers that a double holds exactly
+        return (x @ queries.T).astype(np.int64)
+    out = np.zeros((len(x), len(queries)), np.int64)
+    for q in range(len(queries)):
+        small = of_row * of_query[q] * dim < 2**53
+        out[small, q] = (x[small] @ queries[q]).astype(np.int64)
+        if not small.all():
+            large = _whole(x[~small]) @ _whole(queries[q : q + 1])[0]
+            if any(abs(v) >= TOO_LARGE for v in large):
+                raise OverflowError("a score is beyond what a long can rank: 2^62 or more in size")
+            out[~small, q] = large.astype(np.int64)
+    return out
 
 
 def _scores(batch: pa.RecordBatch, ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -34,11 +58,7 @@ def _scores(batch: pa.RecordBatch, ids: np.ndarray, queries: np.ndarray) -> Iter
         part = batch.slice(i, AT_ONCE)
         own = part.column(0).to_numpy(zero_copy_only=False)
         x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        most = float(max(np.abs(x).max(initial=0), 1)) * float(max(np.abs(queries).max(initial=0), 1)) * dim
-        if most < 2**53:  # sums are whole numbers that a double holds exactly
-            score = (x.astype(np.float64) @ queries.T.astype(np.float64)).astype(np.int64)
-        else:
-            score = x.astype(np.int64) @ queries.T.astype(np.int64)
+        score = _products(x, queries)
         at = np.searchsorted(ids, own)
         hit = np.flatnonzero(ids[np.minimum(at, len(ids) - 1)] == own)
         score[hit, at[hit]] = np.iinfo(np.int64).min
@@ -112,26 +132,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
 
     Every row whose id isn't the query's own is scored, in each of a few passes over all rows: passes that count scores into BINS ranges of where
     the kth score of each query may lie, until it is known exactly, then one that keeps the rows at or over it. Queries are taken in blocks of
-    about `block`, so what a task or the driver holds is bounded whatever the number of rows.
+    about `block`, so what a task or the driver holds is bounded whatever the number of rows; each block's rows are added to one table.
 
-    Vectors that are null, empty, hold null or non-finite components, or components of 2^24 / factor or more in size, and rows with null id take no
-    part. Vectors of another length than the query's aren't compared with it. A repeated row is another candidate; rows that repeat a query's
+    Vectors that are null, empty or hold null or non-finite components, and rows with null id take no part. Components may be of any size; a
+    score of 2^62 or more in size is an error. Vectors of another length than the query's aren't compared with it. A repeated row is another candidate; rows that repeat a query's
     id are one query (of its smallest vector), and no candidates of it. Fewer rows than k: all are returned. Other columns are left out.
     """
     spark = vectors.sparkSession
     rows = written(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), scaled(embedding, factor).alias("v"), is_query.alias("asks")).where("vec_id is not null and v is not null"))
     asked = rows.where("asks").groupBy("vec_id").agg(F.min("v").alias("v"))
-    n, longest = asked.count(), rows.agg(F.max(F.expr("aggregate(v, 0D, (a, x) -> a + double(x) * x)"))).first()[0]
+    n, longest = asked.count(), rows.agg(F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)"))).first()[0]
     blocks = max(1, -(-n // block))
     asked = written(asked.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")))
-    out = spark.createDataFrame([], "query_id long, score long, vec_id long")
+    out, folder = spark.createDataFrame([], "query_id long, score long, vec_id long"), None
     for dim, b in sorted((r.dim, r.block) for r in asked.select("dim", "block").distinct().collect()) if n else []:
         got = sorted(asked.where((F.col("dim") == dim) & (F.col("block") == b)).select("vec_id", "v").collect())
-        ids, queries = np.array([r.vec_id for r in got], np.int64), np.array([r.v for r in got], np.int64)
+        ids, queries = np.array([r.vec_id for r in got], np.int64), np.array([r.v for r in got], np.float64)
         fit = rows.where(F.size("v") == dim).select("vec_id", "v")
-        bound = (np.sqrt((queries.astype(np.float64) ** 2).sum(1) * longest) + 2).astype(np.int64)
+        bound = np.minimum((np.sqrt((queries**2).sum(1)) * longest**0.5) * (1 + 1e-9) + 2, float(TOO_LARGE - 2)).astype(np.int64)
         least = _kth(fit, ids, queries, bound, k)
-        out = out.union(written(fit.mapInArrow(_pick(ids, queries, least, k), "query_id long, score long, vec_id long")))
+        out = written(fit.mapInArrow(_pick(ids, queries, least, k), "query_id long, score long, vec_id long"), add_to=folder)
+        folder = out.written_to
     ranked = out.selectExpr("query_id", "row_number() over (partition by query_id order by score desc, vec_id) as rank", "vec_id", "score")
     return ranked.where(F.col("rank") <= k)
 
