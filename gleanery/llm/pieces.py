@@ -14,8 +14,9 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import table
@@ -142,8 +143,11 @@ class Lattices(dict):
             e = np.exp(value - np.repeat(top, width))
             whole = np.add.reduceat(e, heads)
             total[t[heads]] = top + np.log(whole)
-            upto = np.cumsum(e / np.repeat(whole, width))
-            upto -= np.repeat(upto[heads] - (e / np.repeat(whole, width))[heads], width)
+            upto = e / np.repeat(whole, width)  # summed within each node alone: what else is in the batch changes no digit
+            rank = np.arange(len(t)) - np.repeat(heads, width)
+            for r in range(1, int(width.max(initial=0))):
+                here = np.flatnonzero(rank == r)
+                upto[here] += upto[here - 1]
             upto[np.append(heads[1:], len(t)) - 1] = 1.0
             share[a:b] = np.minimum(upto, 1.0)
         back = np.argsort(to * LONGEST - (to - frm))
@@ -246,5 +250,22 @@ def sample_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     return rows.mapInArrow(go, "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, lossless boolean")
 
 
+def decoded(ids: str, model_path: str | None = None) -> Column:
+    """The text that a column of ids stands for, whatever segmentation they are; null for null, empty for no ids. Ids that the model lacks are an error."""
+
+    @F.pandas_udf("string")
+    def decode(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pieces = Pieces(model_path)
+        for s in lists:
+            yield pd.Series([None if x is None else pieces.decode(x.tolist()).decode() for x in s], dtype=object)
+
+    return decode(F.col(ids))
+
+
+def decode_pieces(rows: DataFrame, ids: str = "ids", text: str = "text", model_path: str | None = None) -> DataFrame:
+    """The rows with their decoded text in column `text`, which replaces one of that name. All rows and other columns stay as they are."""
+    return rows.withColumn(text, decoded(ids, model_path))
+
+
 def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_pieces(table(spark, sf_dir, "documents"))

@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import SPACES, crc32_of_id, table
+from gleanery.llm.common import SPACES, crc32_of_id, discard, labelled_texts, table, written
 
 #: Feature buckets (a power of two) and the width of a bucket's vector.
 BUCKETS_LOG2, DIM = 18, 16
 #: Labelled documents that the model is fitted on, at most: those of the smallest hashes of their ids.
 SAMPLE = 6000
+#: Buckets of all the documents that it is fitted on, at most.
+ENTRIES = 40_000_000
 EPOCHS, RATE = 6, 0.6
 #: Bytes whose features are made at a time; longer texts are taken in blocks that end at white space.
 AT_ONCE = 1 << 20
@@ -24,34 +26,41 @@ REPEAT = 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def blocks(text: bytes, size: int = AT_ONCE) -> Iterator[bytes]:
-    """A long text in blocks of about `size` bytes, cut after white space where there is some."""
+def blocks(text: bytes, size: int = AT_ONCE) -> Iterator[tuple[bytes, bytes]]:
+    """A long text in blocks of about `size` bytes, each with the two bytes before it; no word is cut, however long."""
     at = 0
-    while len(text) - at > size:
-        cut = max(text.rfind(bytes([s]), at, at + size) for s in SPACES) + 1
-        yield text[at : (at := cut if cut > at else at + size)]
-    yield text[at:]
-
-
-def features(text: bytes) -> np.ndarray:
-    """Buckets of a block's words, pairs of neighbouring words (equal ones: REPEAT) and byte trigrams."""
-    b = np.frombuffer(text, np.uint8)
-    if not len(b):
-        return np.zeros(0, np.int64)
+    while at < len(text):
+        end = min(len(text), at + size)
+        while end < len(text) and text[end - 1] not in SPACES:
+            stop = min((i for s in SPACES if (i := text.find(bytes([s]), end, end + size)) >= 0), default=-2) + 1
+            end = stop if stop > 0 else min(len(text), end + size)
+        yield text[at:end], text[max(0, at - 2) : at]
+        at = end
+
+
+def features(text: bytes, size: int = AT_ONCE) -> Iterator[np.ndarray]:
+    """Buckets of a text's words, pairs of neighbouring words (equal ones: REPEAT) and byte trigrams, block by block; together they are those of the
+    whole text, wherever it is cut."""
     shift = np.uint64(64 - BUCKETS_LOG2)
-    wide = b.astype(np.uint64)
-    tri = ((wide[:-2] | wide[1:-1] << np.uint64(8) | wide[2:] << np.uint64(16)) + np.uint64(1 << 32)) * _ODD >> shift
-    blank = (b == 32) | ((b >= 9) & (b <= 13))
-    edge = np.diff(np.concatenate([[True], blank, [True]]).view(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
-        return tri.astype(np.int64)
-    powers = np.cumprod(np.full(len(b), np.uint64(0x100000001B3)))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((wide + np.uint64(1)) * powers)])
-    inverse = np.uint64(pow(0x100000001B3, -1, 1 << 64))
-    word = (sums[end] - sums[start]) * _powers(inverse, start)  # a hash that doesn't depend on the place
-    pair = np.where(word[1:] == word[:-1], np.uint64(REPEAT), (word[1:] * np.uint64(31) + word[:-1]) * _ODD >> shift)
-    return np.concatenate([tri, word * _ODD >> shift, pair]).astype(np.int64)
+    last = np.zeros(0, np.uint64)
+    for body, before in blocks(text, size):
+        wide = np.frombuffer(before + body, np.uint8).astype(np.uint64)
+        tri = ((wide[:-2] | wide[1:-1] << np.uint64(8) | wide[2:] << np.uint64(16)) + np.uint64(1 << 32)) * _ODD >> shift
+        b, wide = np.frombuffer(body, np.uint8), wide[len(before) :]
+        blank = (b == 32) | ((b >= 9) & (b <= 13))
+        edge = np.diff(np.concatenate([[True], blank, [True]]).view(np.int8))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        if not len(start):
+            yield tri.astype(np.int64)
+            continue
+        powers = np.cumprod(np.full(len(b), np.uint64(0x100000001B3)))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((wide + np.uint64(1)) * powers)])
+        inverse = np.uint64(pow(0x100000001B3, -1, 1 << 64))
+        word = (sums[end] - sums[start]) * _powers(inverse, start)  # a hash that doesn't depend on the place
+        line = np.concatenate([last, word])
+        pair = np.where(line[1:] == line[:-1], np.uint64(REPEAT), (line[1:] * np.uint64(31) + line[:-1]) * _ODD >> shift)
+        last = word[-1:]
+        yield np.concatenate([tri, word * _ODD >> shift, pair]).astype(np.int64)
 
 
 def _powers(base: np.uint64, n: np.ndarray) -> np.ndarray:
@@ -65,15 +74,11 @@ def _powers(base: np.uint64, n: np.ndarray) -> np.ndarray:
 
 def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A whole text's buckets and their shares."""
-    n = np.zeros(0, np.int64)
-    total = None
-    for block in blocks(text):
-        ids, counts = np.unique(features(block), return_counts=True)
-        if total is None:
-            n, total = ids, counts
-        else:
-            n, back = np.unique(np.concatenate([n, ids]), return_inverse=True)
-            total = np.bincount(back, np.concatenate([total, counts])).astype(np.int64)
+    n, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for found in features(text):
+        ids, counts = np.unique(found, return_counts=True)
+        n, back = np.unique(np.concatenate([n, ids]), return_inverse=True)
+        total = np.bincount(back, np.concatenate([total, counts])).astype(np.int64)
     return n, total / max(1, total.sum())
 
 
@@ -111,8 +116,7 @@ class Model:
 
     def score(self, text: bytes) -> float:
         total, n = 0.0, 0
-        for block in blocks(text):
-            ids = features(block)
+        for ids in features(text):
             total, n = total + float(self.weights[ids].sum(dtype=np.float64)), n + len(ids)
         return float(1 / (1 + np.exp(-np.clip(self.bias + total / max(n, 1), -500, 500))))
 
@@ -128,25 +132,30 @@ class Model:
         return score(text)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` labelled documents that `learn`, a condition on doc_id, admits. Labels other than 0 and 1, null ids and ids without a
-    document are left out; a repeated id counts once, with its larger label, a repeated document each time. Without any row scores are 0.5."""
-    picked = labels.where(learn & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
-    picked = picked.where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(sample)  # so many short rows at most
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
+    """Fits on at most `sample` labelled texts that labelled_texts() gives for `learn`, a condition on doc_id, and of these on no more than have
+    `entries` buckets in all, so that the driver's memory is bounded whatever the texts' lengths. Texts are learned in the order of their hashes;
+    equal hashes are one text. Without any row scores are 0.5."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [bag(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            ids, shares = [r[0].astype(np.int32) for r in rows], [r[1].astype(np.float32) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["_id", "_label", "ids", "shares"])
-
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(picked), "_id").select("_id", "_label", "_text")
-    got = rows.mapInArrow(count, "_id long, _label int, ids array<int>, shares array<float>").toArrow().to_pandas()
-    got = got.sort_values(["_id"], kind="stable", ignore_index=True)
-    if not len(got):
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                rows = [bag(t or b"") for t in part.column(2).cast(pa.binary()).to_pylist()]
+                ids, shares = [r[0].astype(np.int32) for r in rows], [r[1].astype(np.float32) for r in rows]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["_key", "_label", "size", "ids", "shares"])
+
+    rows = labelled_texts(docs, labels, learn, sample, doc_id, text, label)
+    bags_of = written(rows.mapInArrow(count, "_key long, _label int, size long, ids array<int>, shares array<float>"))
+    sizes = sorted((r._key, r.size) for r in bags_of.select("_key", "size").collect())  # `sample` rows at most
+    upto = np.cumsum([n for _, n in sizes])
+    last = max((k for (k, _), n in zip(sizes, upto) if n <= entries), default=None)
+    if last is None:
         return Model(np.zeros(1 << BUCKETS_LOG2, np.float32), 0.0)
-    bags = [(np.asarray(i, np.int64), np.asarray(s, np.float32)) for i, s in zip(got.ids, got.shares)]
-    return Model(*train(bags, got._label.to_numpy(np.int64)))
+    got = bags_of.where(F.col("_key") <= last).toArrow().sort_by("_key")
+    bags = [(np.asarray(i, np.int64), np.asarray(s, np.float32)) for i, s in zip(*([x.values.to_numpy(zero_copy_only=False) for x in got[c]] for c in ("ids", "shares")))]
+    discard(rows, bags_of)
+    return Model(*train(bags, got["_label"].to_numpy().astype(np.int64)))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -1,9 +1,11 @@
 import zlib
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.llm import quality, toxicity
+from gleanery.llm import common, quality, toxicity
 from tests.llm.cases import ODD, frame
 
 LABELS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("toxic", T.IntegerType()), T.StructField("text", T.StringType())])
@@ -95,9 +97,69 @@ def test_no_rows_and_no_labels(spark):
 
 
 def test_features_do_not_depend_on_blocks():
-    text = b"one two two three " * 50
-    whole, parts = quality.features(text), [quality.features(b) for b in quality.blocks(text, 100)]
-    assert {*whole} >= {*np.concatenate(parts)} and quality.REPEAT in whole
-    assert quality.features(b"x one")[-1] != quality.features(b"x two")[-1]
+    rng = np.random.default_rng(1)
+    for text in (b"one two two three " * 50, b"x" * 1000 + b" one one", b" " * 300 + b"a b", rng.choice(np.frombuffer(b"ab \n", np.uint8), 3000).tobytes(), b""):
+        whole = np.sort(np.concatenate([np.zeros(0, np.int64), *quality.features(text)]))
+        for size in (1, 7, 100):
+            assert (whole == np.sort(np.concatenate([np.zeros(0, np.int64), *quality.features(text, size)]))).all()
+    pairs = [np.concatenate([*quality.features(t)])[-1] for t in (b"x one", b"x two", b"one one")]
+    assert pairs[0] != pairs[1] and pairs[2] == quality.REPEAT
     model = quality.Model(np.random.default_rng(0).normal(size=1 << quality.BUCKETS_LOG2).astype(np.float32), 0.1)
     assert 0 < model.score(b"word " * 500_000) < 1
+
+
+def test_quality_by_hand():
+    """A score from words, pairs and trigrams counted in plain Python, and gradient steps against differences of the loss."""
+    text, buckets = b"the cat cat sat", quality.BUCKETS_LOG2
+    found = Counter(int(i) for f in quality.features(text) for i in f)
+    n_words, n_tri = 4, len(text) - 2
+    assert found.total() == n_words + (n_words - 1) + n_tri and found[quality.REPEAT] >= 1
+    weights = np.random.default_rng(3).normal(size=1 << buckets).astype(np.float32)
+    z = 0.25 + sum(float(weights[i]) * n for i, n in found.items()) / found.total()
+    assert abs(quality.Model(weights, 0.25).score(text) - 1 / (1 + np.exp(-z))) < 1e-9
+    rng = np.random.default_rng(0)
+    bags = [(np.sort(rng.choice(50, 5, replace=False)) + 50 * (i % 2), np.full(5, 0.2, np.float32)) for i in range(200)]
+    trained, bias = quality.train(bags, np.arange(200) % 2)
+    assert all((bias + s @ trained[ids] > 0) == i % 2 for i, (ids, s) in enumerate(bags))
+
+
+def test_a_label_repeated_many_times_is_one_row(spark):
+    docs, labels = corpus(40)
+    rows = frame(spark, docs + [(0, "again " * 30)] * 3000 + [(0, f"text {i}") for i in range(300)])
+    marks = spark.createDataFrame(labels, LABELS)
+    for column in ("quality", "toxic"):
+        got = common.labelled_texts(rows, marks, F.lit(True), 50, "doc_id", "text", column)
+        assert got.count() == 50 and got.select("_key").distinct().count() == 50
+    quality.fit(rows, marks, F.lit(True), entries=2000)
+
+
+def every_reading(token, chars):
+    """(cost, word) of all ways to read, hold or drop the characters of a token."""
+
+    def go(i, word, cost):
+        if i == len(token):
+            a, b = ("^^" + word)[-2:]
+            yield cost + chars.cost(a, b, "$"), word
+            return
+        ch, (a, b) = token[i], ("^^" + word)[-2:]
+        letters = [(ch, 0.0)] if ch.isalpha() else [(c, toxicity.READ_COST) for c in toxicity.READ_AS.get(ch, "")]
+        for c, extra in letters:
+            yield from go(i + 1, word + c, cost + extra + chars.cost(a, b, c))
+            if c == b and i and token[i - 1] == ch:
+                yield from go(i + 1, word, cost + extra + toxicity.REPEAT_COST)
+        if ch in toxicity.DROPPED or not letters:
+            yield from go(i + 1, word, cost + toxicity.DROP_COST)
+
+    return go(0, "", 0.0)
+
+
+def test_restored_words_are_the_likeliest_of_all():
+    words = Counter(w for _, t in corpus(200)[0] for w in t.lower().split())
+    chars = toxicity.CharModel(words)
+    rng = np.random.default_rng(5)
+    letters = list("aehnot0134*|.-_@$e")
+    for _ in range(300):
+        token = "".join(rng.choice(letters, rng.integers(1, 9)))
+        best = min(every_reading(token, chars))
+        cost = {w: c for c, w in sorted(every_reading(token, chars), reverse=True)}[toxicity.restore(token, chars)]
+        assert abs(cost - best[0]) < 1e-9, token

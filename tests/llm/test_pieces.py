@@ -52,3 +52,22 @@ def test_same_draw_anywhere(spark):
     other = {(r.doc_id, tuple(r.ids)) for r in pieces.sample_pieces(frame(spark, rows), seed=1).collect()}
     assert len(one - other) > len(docs_of(spark)) * 0.9
     assert pieces.sample_pieces(frame(spark, [])).count() == 0
+
+
+def test_company_changes_no_digit():
+    """Shares of a unit alone and beside many others are the same to the last digit."""
+    made = pieces.Pieces()
+    alone, beside = pieces.Lattices(made, 0.7), pieces.Lattices(made, 0.7)
+    unit = " transformation"
+    alone.add([unit])
+    beside.add([f" w{i}ord{i * 7919}" for i in range(20_000)] + [unit])
+    size = len(unit)
+    a, b = alone.upto[alone.entry[0] :], beside.upto[beside.entry[beside.nodes - size] :]
+    assert len(a) == len(b) and (a == b).all()
+
+
+def test_decode_frame(spark):
+    rows = frame(spark, ODD)
+    got = pieces.decode_pieces(pieces.sample_pieces(rows), "ids").select("doc_id", "text").collect()
+    assert sorted(((r.doc_id or 0, r.text) for r in got)) == sorted((i or 0, t or "") for i, t in ODD)
+    assert spark.createDataFrame([(None,)], "ids array<int>").select(pieces.decoded("ids").alias("t")).first().t is None
