@@ -17,7 +17,7 @@ BINS = 256
 #: Vectors that a task scores at a time.
 AT_ONCE = 256
 #: Scores of this size or more are refused with an error.
-TOO_LARGE = 1 << 62
+TOO_LARGE = 1 << 61
 
 
 def scaled(embedding: str, factor: int = 256) -> Column:
@@ -46,7 +46,7 @@ def _products(x: np.ndarray, queries: np.ndarray) -> np.ndarray:
         if not small.all():
             large = _whole(x[~small]) @ _whole(queries[q : q + 1])[0]
             if any(abs(v) >= TOO_LARGE for v in large):
-                raise OverflowError("a score is beyond what a long can rank: 2^62 or more in size")
+                raise OverflowError("a score is beyond what a long can rank: 2^61 or more in size")
             out[~small, q] = large.astype(np.int64)
     return out
 
@@ -135,7 +135,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     about `block`, so what a task or the driver holds is bounded whatever the number of rows; each block's rows are added to one table.
 
     Vectors that are null, empty or hold null or non-finite components, and rows with null id take no part. Components may be of any size; a
-    score of 2^62 or more in size is an error. Vectors of another length than the query's aren't compared with it. A repeated row is another candidate; rows that repeat a query's
+    score of 2^61 or more in size is an error. Vectors of another length than the query's aren't compared with it. A repeated row is another candidate; rows that repeat a query's
     id are one query (of its smallest vector), and no candidates of it. Fewer rows than k: all are returned. Other columns are left out.
     """
     spark = vectors.sparkSession
@@ -149,7 +149,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
         got = sorted(asked.where((F.col("dim") == dim) & (F.col("block") == b)).select("vec_id", "v").collect())
         ids, queries = np.array([r.vec_id for r in got], np.int64), np.array([r.v for r in got], np.float64)
         fit = rows.where(F.size("v") == dim).select("vec_id", "v")
-        bound = np.minimum((np.sqrt((queries**2).sum(1)) * longest**0.5) * (1 + 1e-9) + 2, float(TOO_LARGE - 2)).astype(np.int64)
+        bound = np.minimum((np.sqrt((queries**2).sum(1)) * longest**0.5) * (1 + 1e-9) + 2, float(TOO_LARGE)).astype(np.int64)
         least = _kth(fit, ids, queries, bound, k)
         out = written(fit.mapInArrow(_pick(ids, queries, least, k), "query_id long, score long, vec_id long"), add_to=folder)
         folder = out.written_to
