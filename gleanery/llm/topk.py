@@ -33,16 +33,16 @@ def _whole(x: np.ndarray) -> np.ndarray:
     return np.array([[int(v) for v in row] for row in x.tolist()], object).reshape(x.shape)
 
 
-def _products(x: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """int64[rows, queries]: inner products of whole numbers, exact whatever their size."""
+def _products(x: np.ndarray, queries: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """int64[rows, queries]: inner products of whole numbers, exact whatever their size; that of a row's own query (-1: none) may be anything."""
     dim = queries.shape[1]
     of_row, of_query = (np.abs(m).max(axis=1, initial=1) for m in (x, queries))
     if of_row.max(initial=1) * of_query.max(initial=1) * dim < 2**53:  # sums are whole numbers that a double holds exactly
         return (x @ queries.T).astype(np.int64)
     out = np.zeros((len(x), len(queries)), np.int64)
     for q in range(len(queries)):
-        small = of_row * of_query[q] * dim < 2**53
-        out[small, q] = (x[small] @ queries[q]).astype(np.int64)
+        small = (of_row * of_query[q] * dim < 2**53) | (own == q)
+        out[small, q] = np.where(own[small] == q, 0, x[small] @ queries[q]).astype(np.int64)
         if not small.all():
             large = _whole(x[~small]) @ _whole(queries[q : q + 1])[0]
             if any(abs(v) >= TOO_LARGE for v in large):
@@ -58,9 +58,9 @@ def _scores(batch: pa.RecordBatch, ids: np.ndarray, queries: np.ndarray) -> Iter
         part = batch.slice(i, AT_ONCE)
         own = part.column(0).to_numpy(zero_copy_only=False)
         x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        score = _products(x, queries)
         at = np.searchsorted(ids, own)
-        hit = np.flatnonzero(ids[np.minimum(at, len(ids) - 1)] == own)
+        itself = ids[np.minimum(at, len(ids) - 1)] == own
+        score, hit = _products(x, queries, np.where(itself, at, -1)), np.flatnonzero(itself)
         score[hit, at[hit]] = np.iinfo(np.int64).min
         yield own, score
 
