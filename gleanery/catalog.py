@@ -56,8 +56,7 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Scored articles, near copies left out, the best of each source, best first."""
     rows = scored(spark, folder).withColumn("tokens", T.words(F.col("content")))
-    copies = S.jaccard_pairs(rows, 0.88).select(F.col("b").alias("id")).distinct()
-    fresh = rows.join(copies, "id", "left_anti")
+    fresh = rows.drop("tokens").join(S.later_copies(rows.select("id", "tokens"), 0.88), "id", "left_anti")
     best = R.best_of_each(fresh, "source_id", 3, F.desc("score"), F.asc("ord"))
     return best.select("id", "source_id", "priority", "score", F.col("rank").cast("long").alias("rank")).orderBy("priority", F.desc("score"), "id").limit(30)
 
