@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Words that comparison texts leave out.
 STOP_WORDS = (
-    "the a an and or but in on at to for of with by from as is was are were be been being have has had do does did will would could should may might must can this that these those"
+    "the a an and or but in on at to for of with by is are was were be been being have has had do does did will would could should may might must can this that these those"
 ).split()
 # Query parameters that identify a page and stay in its address.
 ID_PARAMETERS = ("id", "post_id", "article_id", "p", "postid")

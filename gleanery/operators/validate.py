@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# What a violation of each severity costs.
 WEIGHTS = {"error": 0.3, "warning": 0.1, "info": 0.05}
 
 
 def rules(text: Column) -> dict[str, tuple[str, Column]]:
-    """rule -> (severity, condition that is met where the rule is broken)."""
+    """rule -> (severity, condition that is met where the rule is broken). A null text breaks those that an empty one breaks."""
+    text = F.coalesce(text, F.lit(""))
     return {
         "too_short": ("error", F.length(text) < 200),
         "too_long": ("warning", F.length(text) > 5000),
-        "no_ending": ("warning", ~text.rlike(r"[.!?]\s*$")),
+        "no_ending": ("warning", ~F.right(F.rtrim(F.translate(text, "\t\r\n\f\x0b", "     ")), F.lit(1)).isin(".", "!", "?")),
         "no_number": ("info", ~text.rlike(r"[0-9]")),
         "shouting": ("error", F.regexp_count(text, F.lit("[A-Z]")) * 2 > F.greatest(F.regexp_count(text, F.lit("[a-zA-Z]")), F.lit(1))),
         "many_commas": ("info", F.regexp_count(text, F.lit(",")) > 40),
