@@ -169,22 +169,11 @@ def consolidated(rows: DataFrame, groups: DataFrame, score: Column, key: str = "
     return out.withColumn("dropped", F.col("_n") - 1).select(*rows.columns, "dropped")
 
 
-def title_relations(rows: DataFrame, n: int = 2, key: str = "id", title: str = "title", most: int = 1000) -> DataFrame:
-    """(id, other, rank): the first n other rows by key whose lower-case titles share two words or more, one of over three characters.
-
-    Pairs meet by a shared word of over three characters in at most `most` titles, then all words are compared; pairs that share only
-    more frequent long words meet through the rarer of their two shared words, so that none is lost unless both are in over `most` titles.
-    """
-    words = rows.select(F.col(key).alias("id"), F.array_distinct(F.filter(F.split(F.lower(empty(title)), r"[ \t\r\n\f\x0B]+"), lambda w: w != "")).alias("w")).where(F.size("w") > 1)
-    words = settled(words)
-    each = words.select("id", F.explode("w").alias("one"))
-    rare = each.groupBy("one").agg(F.count("*").alias("c")).where(F.col("c").between(2, most))
-    placed = each.join(rare, "one").select("id", "one")
-    met = placed.alias("p").join(placed.alias("q"), F.expr("p.one = q.one and p.id != q.id")).select(F.col("p.id").alias("id"), F.col("q.id").alias("other")).distinct()
-    both = met.join(words, "id").join(words.select(F.col("id").alias("other"), F.col("w").alias("v")), "other")
-    shared = F.array_intersect("w", "v")
-    found = both.where((F.size(shared) >= 2) & F.exists(shared, lambda w: F.length(w) > 3)).select("id", "other")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("other"))).where(F.col("rank") <= n)
+def titles_related(a: Column, b: Column) -> Column:
+    """Whether two titles share two words or more, one of them of over three characters; whatever their case."""
+    words = lambda t: F.array_distinct(F.filter(F.split(F.lower(empty(t)), r"[ \t\r\n\f\x0B]+"), lambda w: w != ""))
+    shared = F.array_intersect(words(a), words(b))
+    return (F.size(shared) >= 2) & F.exists(shared, lambda w: F.length(w) > 3)
 
 
 def named_in(rows: DataFrame, documents: DataFrame, key: str = "id", title: str = "title", text: str = "text") -> DataFrame:
