@@ -481,4 +481,4 @@ def sliding(spark, folder):
     return feeds.windowed(read(spark, folder, "events"), "ts", "24 hours", "1 hour", "30 minutes").withColumn("total", F.round("total", 4))
 
 
-from gleanery import catalog_articles, catalog_rules, catalog_tables  # noqa: E402, F401  add their queries
+from gleanery import catalog_articles, catalog_forms, catalog_rules, catalog_tables  # noqa: E402, F401  add their queries

@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.catalog import ARTICLES, query
 from gleanery.operators import audits as A
 from gleanery.operators import sinks as K
+from gleanery.operators.topics import shared_path
 from gleanery.sources.tables import articles, read
 
 ONLY = f"WITH {ARTICLES}\n"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder; in a temporary one only where none is set and the master is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file://{tempfile.gettempdir()}/gleanery-checkpoints"
-    return f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return shared_path(spark, "tables")
 
 
 @query("dated_documents", ONLY + "SELECT year(published) AS year, month(published) AS month, count(*) AS n, sum(length(content)) AS characters FROM articles GROUP BY ALL")

@@ -11,14 +11,14 @@ from gleanery.functions import text as T
 
 def plain_style(text: Column) -> Column:
     """Redundant phrases shortened, sentences in polite form, one mark after each, single blanks; empty for null."""
-    return F.trim(T.fold(F.coalesce(text, F.lit("")), [*X.REDUNDANT, *X.POLITE_FORMS, (r"。+", "。"), (r"\s+", " ")]))
+    return F.trim(T.fold(F.coalesce(text, F.lit("")), [*X.REDUNDANT, *X.POLITE_FORMS, (r"。+", "。"), (r"(?U)\s+", " ")]))
 
 
 def punctuation(text: Column) -> Column:
     """One form of each punctuation mark; no blanks before it, one after it at most."""
     for a, b in X.PUNCTUATION:
         text = F.replace(text, F.lit(a), F.lit(b))
-    return F.trim(T.fold(text, [(r"\s+([。、!?])", "$1"), (r"([。、!?])\s+", "$1 ")]))
+    return F.trim(T.fold(text, [(r"(?U)\s+([。、!?])", "$1"), (r"(?U)([。、!?])\s+", "$1 ")]))
 
 
 def shortened(text: Column, limit: int) -> Column:

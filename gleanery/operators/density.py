@@ -12,11 +12,11 @@ from gleanery.functions import text as T
 from gleanery.operators.topics import settled
 
 
-def linked(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def linked(edges: DataFrame) -> DataFrame:
     """id and root, the smallest id reachable, of every row that has an edge (a, b). Labels fall to the least neighbour's and then to their own label's label."""
     both = settled(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct())
     now = settled(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
-    for _ in range(rounds):
+    while True:  # labels only fall, and double their reach each round
         least = both.join(now.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("_m"))
         lower = now.join(least, "id").select("id", F.least("root", "_m").alias("root"))
         jump = lower.select(F.col("id").alias("root"), F.col("root").alias("_r"))
@@ -25,7 +25,6 @@ def linked(edges: DataFrame, rounds: int = 100) -> DataFrame:
         now = after
         if same:
             return now
-    raise RuntimeError(f"not settled after {rounds} rounds")
 
 
 def close_pairs(df: DataFrame, within: float, size: int, key: str = "vec_id", vector: str = "embedding", axes: int = 3, seed: int = 42) -> DataFrame:

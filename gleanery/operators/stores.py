@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.operators.sinks import latest, same_keys
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The newest row of each key of old and new; equal versions: the new one."""
+    """The newest row of each key of old and new; equal versions: the new one, then the first by all columns. A null key is a key."""
     rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("_new")))).where("_r = 1").drop("_r", "_new")
+    return latest(rows, keys, F.desc(version), F.desc("_new")).drop("_new")
 
 
 def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old, and the rows of new whose key isn't there, one for each key."""
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(keys), keys, "left_anti").select(old.columns))
+    """old, and the rows of new whose key isn't there, one for each key (the first by all columns). Null keys are equal, so that they aren't inserted again."""
+    there = old.select(*keys).distinct().alias("o")
+    return old.unionByName(latest(new, keys).alias("n").join(there, same_keys("n", "o", keys), "left_anti").select(old.columns))
 
 
 def retain(df: DataFrame, time: str, now: Column, days: int) -> DataFrame:

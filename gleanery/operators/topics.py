@@ -3,45 +3,48 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows, checkpointed in spark.checkpoint.dir; in a temporary folder only where it is unset and the master is local."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; in a temporary one only where that is unset and the master is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or f"file://{tempfile.gettempdir()}/gleanery-checkpoints")
-    return df.checkpoint()
+        folder = f"file://{tempfile.gettempdir()}/gleanery-checkpoints"
+    return f"{folder.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, read again from a table in the shared folder: it cuts the lineage, survives lost executors, and has a size that is known."""
+    path = shared_path(df.sparkSession, "settled")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def leader_groups(nodes: DataFrame, pairs: DataFrame, key: str = "id", rounds: int = 1000) -> DataFrame:
+def leader_groups(nodes: DataFrame, pairs: DataFrame, key: str = "id") -> DataFrame:
     """key and leader of each row: in key order, a row that no leader before it is paired with leads; others follow the first such leader.
 
     Not transitive. Each round settles every row whose smaller partners are all settled, so that it needs as many rounds as the longest chain of
-    pairs with rising keys, not one for each row. Only rows that have a partner take part; the rest lead themselves. States are checkpointed.
+    pairs with rising keys, not one for each row. Only rows that have a partner take part; the rest lead themselves. States are written.
     """
     ids = nodes.select(F.col(key).alias("id")).distinct()
     edges = settled(pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").distinct())
     state = edges.select(F.col("high").alias("id")).distinct().select("id", F.lit(None).cast("boolean").alias("leads"))
     lead = edges.select(F.col("low").alias("id")).distinct().join(state.select("id"), "id", "left_anti").withColumn("leads", F.lit(True))
     state = settled(lead.unionByName(state))
-    for _ in range(rounds):
-        if not state.where("leads is null").head(1):
-            break
+    while state.where("leads is null").head(1):  # each round settles the smallest open row of each part at least
         open_ = edges.join(state.where("leads is null").select(F.col("id").alias("high")), "high")
         seen = open_.join(state.select(F.col("id").alias("low"), "leads"), "low").groupBy("high").agg(F.bool_or(F.coalesce("leads", F.lit(False))).alias("met"), F.bool_or(F.col("leads").isNull()).alias("open"))
         verdict = F.when(F.col("met"), F.lit(False)).when(~F.col("open"), F.lit(True))
         state = settled(state.join(seen.select(F.col("high").alias("id"), verdict.alias("_v")), "id", "left").select("id", F.coalesce("leads", "_v").alias("leads")))
-    else:
-        raise RuntimeError(f"not settled after {rounds} rounds")
     first = edges.join(state.where("leads").select(F.col("id").alias("low")), "low").groupBy("high").agg(F.min("low").alias("leader"))
     follows = state.where("not leads").join(first, F.col("id") == F.col("high")).select("id", "leader")
     return ids.join(follows, "id", "left").select(F.col("id").alias(key), F.coalesce("leader", "id").alias("leader"))
@@ -120,20 +123,27 @@ def overlap_penalty(similarity: Column) -> Column:
     return F.when(similarity > 0.8, -0.3).when(similarity > 0.6, -0.1).otherwise(F.lit(0.0))
 
 
+#: References that travel together.
+REFERENCES = 1000
+
+
 def contrast(df: DataFrame, wanted: DataFrame, unwanted: DataFrame, vector: str = "embedding", best: int = 3) -> DataFrame:
     """Adds score: the mean cosine to the nearest wanted references, less a share of that to the unwanted ones (0.6 of it over 0.7, else 0.4).
 
-    References travel as one row of two arrays, so rows aren't multiplied; more than 1000 of either are refused.
+    References travel as rows of two arrays, REFERENCES of them at a time, so rows aren't multiplied; from block to block a row keeps its best
+    cosines. Without wanted references that part is 0, as without unwanted ones. Vectors are taken as unit vectors.
     """
-    if wanted.limit(1001).count() > 1000 or unwanted.limit(1001).count() > 1000:
-        raise ValueError("at most 1000 references of either kind")
-    w, u = (d.agg(F.collect_list(vector).alias(c)) for d, c in ((wanted, "_w"), (unwanted, "_u")))
-
-    def near(refs: str) -> Column:
-        top = F.slice(F.sort_array(F.transform(refs, lambda r: T.dot(r, F.col(vector))), asc=False), 1, best)
-        return F.aggregate(top, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(top), F.lit(1))
-
-    rows = df.crossJoin(F.broadcast(w.crossJoin(u))).withColumn("_p", near("_w")).withColumn("_q", near("_u")).drop("_w", "_u")
+    rows = df.withColumns({"_p": F.array().cast("array<double>"), "_q": F.array().cast("array<double>")})
+    for refs, best_of in ((wanted, "_p"), (unwanted, "_q")):
+        blocks = max(1, -(-refs.count() // REFERENCES))
+        dealt = settled(refs.select(F.col(vector).alias("_v"), F.pmod(F.xxhash64(vector), F.lit(blocks)).alias("_b"))) if blocks > 1 else refs.select(F.col(vector).alias("_v"), F.lit(0).alias("_b"))
+        for block in range(blocks):
+            one = dealt.where(F.col("_b") == block).agg(F.collect_list("_v").alias("_refs"))
+            near = F.transform("_refs", lambda r: T.dot(r, F.col(vector)))
+            rows = rows.crossJoin(F.broadcast(one)).withColumn(best_of, F.slice(F.sort_array(F.concat(F.col(best_of), near), asc=False), 1, best)).drop("_refs")
+            rows = settled(rows) if blocks > 1 else rows
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(c), F.lit(1))
+    rows = rows.withColumns({"_p": mean("_p"), "_q": mean("_q")})
     share = F.when(F.col("_q") > 0.7, 0.6).otherwise(0.4)
     return rows.withColumn("score", T.clip(F.col("_p") - share * F.col("_q"))).drop("_p", "_q")
 

@@ -44,3 +44,17 @@ def entries(df: DataFrame, source: str, xml: str, now: Column, hours: int, k: in
     kept = rows.where(F.col("title").isNotNull() & F.col("url").isNotNull() & (F.col("published") >= now - F.expr(f"interval {hours} hours")))
     kept = kept.withColumn("_r", F.row_number().over(Window.partitionBy(source).orderBy("place"))).where(F.col("_r") <= k)
     return kept.select(source, "place", "title", "url", F.coalesce("_name", "_author").alias("author"), "content", "published", "tags")
+
+
+def scan(df: DataFrame, source: str, xml: str, kind: str, now: Column, hours: int, k: int, tags: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries, failures) of landed files of sources of any number. Kinds rss, atom, web and youtube (a feed of videos) are read; other kinds give no rows
+    and no failure. A file that is null, or of a kind that is read but without an entry, fails: source and reason. Tags of the source come
+    before those of the entry."""
+    known = F.lower(F.coalesce(F.col(kind), F.lit(""))).isin("rss", "atom", "web", "youtube")
+    rows = df.where(known)
+    found = entries(rows, source, xml, now, hours, k)
+    if tags:
+        own = rows.select(F.col(source).alias("_s"), F.coalesce(tags, F.array().cast("array<string>")).alias("_tags")).dropDuplicates(["_s"])
+        found = found.join(own, F.col(source) == F.col("_s")).withColumn("tags", F.array_distinct(F.concat("_tags", "tags"))).drop("_s", "_tags")
+    broken = F.when(F.col(xml).isNull(), "missing").when(~F.col(xml).rlike(r"<(?:item|entry)[\s>]"), "no entries")
+    return found, rows.select(source, broken.alias("reason")).where("reason is not null")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.sinks import insert_missing
+
 
 def fresh(stream: DataFrame, keys: list[str], time: str, late: str = "24 hours") -> DataFrame:
     """The first row of each key; a key is remembered for `late`, and rows that are later than that are left out."""
@@ -30,12 +32,7 @@ def append_new(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: appends the batch's rows whose keys the table at `path` hasn't yet, one of each key. A repeated batch adds nothing."""
 
     def go(batch: DataFrame, number: int) -> None:
-        spark, rows = batch.sparkSession, batch.dropDuplicates(keys)
-        jvm = spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-            rows = rows.join(spark.read.schema(batch.schema).parquet(path).select(keys), keys, "left_anti").select(batch.columns)
-        rows.write.mode("append").parquet(path)
+        insert_missing(batch, path, keys)
 
     return go
 
