@@ -144,10 +144,10 @@ class Lattices(dict):
             whole = np.add.reduceat(e, heads)
             total[t[heads]] = top + np.log(whole)
             upto = e / np.repeat(whole, width)  # summed within each node alone: what else is in the batch changes no digit
-            rank = np.arange(len(t)) - np.repeat(heads, width)
+            at, more = heads, width
             for r in range(1, int(width.max(initial=0))):
-                here = np.flatnonzero(rank == r)
-                upto[here] += upto[here - 1]
+                at, more = at[more > r], more[more > r]
+                upto[at + r] += upto[at + r - 1]
             upto[np.append(heads[1:], len(t)) - 1] = 1.0
             share[a:b] = np.minimum(upto, 1.0)
         back = np.argsort(to * LONGEST - (to - frm))
