@@ -198,7 +198,10 @@ def document_links(spark, folder):
     return M.addresses(read(spark, folder, "documents"), "doc_id", "text").withColumn("repeated", F.round("repeated", 6))
 
 
-@query("document_sections")
+@query("document_sections", r"""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '(?m)^(#{1,3}[ \t\r\f\v]+)', chr(1) || '\1', 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, unnest(parts) AS p, generate_subscripts(parts, 1) - 1 AS place FROM p)
+SELECT doc_id, CAST(place AS INTEGER) AS place, CASE WHEN place > 0 THEN regexp_replace(split_part(p, chr(10), 1), '^#{1,3}[ \t\r\f\v]+', '') ELSE '' END AS title,
+  regexp_replace(CASE WHEN place > 0 THEN regexp_replace(p, '^[^\n]*\n?', '') ELSE p END, '^[ \n]+|[ \n]+\z', '', 'g') AS body FROM e""")
 def document_sections(spark, folder):
     return M.sections(read(spark, folder, "documents"), "doc_id", "text")
 

@@ -9,20 +9,17 @@ from pyspark.sql import functions as F
 LOST = {"critical": 0.2, "major": 0.1, "minor": 0.05}
 
 
-def sections(df: DataFrame, key: str, text: str, mark: str = r"^#{1,3}\s+") -> DataFrame:
-    """key, place, title, body: the parts of a document between its headings; place 0, without a title, is what stands before the first."""
-    lines = df.select(key, F.split(F.col(text), "\n").alias("l"))
-    start = F.struct(F.lit("").alias("t"), F.array().cast("array<string>").alias("b"))
-    empty = F.array(start)
-
-    def add(parts: Column, line: Column) -> Column:
-        last = F.element_at(parts, -1)
-        new = F.concat(parts, F.array(F.struct(F.regexp_replace(line, mark, "").alias("t"), F.array().cast("array<string>").alias("b"))))
-        more = F.concat(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(F.struct(last["t"].alias("t"), F.concat(last["b"], F.array(line)).alias("b"))))
-        return F.when(line.rlike(mark), new).otherwise(more)
-
-    parts = lines.select(key, F.posexplode(F.aggregate("l", empty, add)).alias("place", "p"))
-    return parts.select(key, "place", F.col("p.t").alias("title"), F.trim(F.array_join("p.b", "\n")).alias("body"))
+def sections(df: DataFrame, key: str, text: str, mark: str = r"#{1,3}[ \t\r\f\x0B]+") -> DataFrame:
+    """key, place, title, body: the parts of a document between its headings, lines that begin with the mark; place 0, without a title, is what stands
+    before the first. Bodies have no blanks or empty lines around them. Null texts have no part."""
+    t = F.col(text)
+    parts = F.split(t, rf"(?md)(?=^{mark})")
+    parts = F.when(t.rlike(f"^{mark}"), F.concat(F.array(F.lit("")), parts)).otherwise(parts)
+    each = df.where(t.isNotNull()).select(key, F.posexplode(parts).alias("place", "_p"))
+    headed = F.col("place") > 0
+    title = F.when(headed, F.regexp_replace(F.split_part("_p", F.lit("\n"), F.lit(1)), f"^{mark}", "")).otherwise(F.lit(""))
+    body = F.when(headed, F.regexp_replace("_p", r"^[^\n]*\n?", "")).otherwise(F.col("_p"))
+    return each.select(key, "place", title.alias("title"), F.regexp_replace(body, r"^[ \n]+|[ \n]+\z", "").alias("body"))
 
 
 def findings(df: DataFrame, key: str, text: str, lead: tuple[int, int] = (100, 1000), entries: tuple[int, int] = (3, 10)) -> DataFrame:
