@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from gleanery.catalog import ARTICLES, query
 from gleanery.catalog_articles import POINTED, linked, pointed
 from gleanery.functions import compose as M
+from gleanery.functions import text as T
 from gleanery.operators import boundaries as B
+from gleanery.operators import grouping as G
 from gleanery.operators import joins as N
 from gleanery.operators import pair_rules as P
 from gleanery.sources.tables import articles, read
@@ -112,3 +114,70 @@ def source_names(spark, folder):
 def publish_status(spark, folder):
     kind = F.col("event_type")
     return read(spark, folder, "events").groupBy("event_type", B.publish_status(kind == "error", kind == "click", kind == "view").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("source_groups", ONLY + "SELECT *, row_number() OVER (ORDER BY first, source_id) AS place FROM (SELECT source_id, count(*) AS n, min(ord) AS first FROM articles GROUP BY 1 ORDER BY first, source_id LIMIT 7)")
+def source_groups(spark, folder):
+    return G.source_groups(articles(spark, folder), "source_id", "ord", 7)
+
+
+@query("first_by_url", "SELECT min(page_id) AS page_id, url FROM pages GROUP BY url")
+def first_by_url(spark, folder):
+    return G.first_by_url(read(spark, folder, "pages").select("page_id", "url"), "url", "page_id", normal=False)
+
+
+@query("unflagged", ONLY + "SELECT min(id) AS id, source_id FROM articles WHERE length(content) % 3 <> 0 GROUP BY 2")
+def unflagged(spark, folder):
+    rows = articles(spark, folder).select("id", "source_id", (F.length("content") % 3 == 0).alias("flag"))
+    return G.unflagged(rows, "source_id", F.col("flag"), "id").select("id", "source_id")
+
+
+_TOPICS = {"first": ("the", "of", "and", "therean"), "second": ("und", "der", "die", "das")}
+_MET = {name: " + ".join(f"CASE WHEN contains(lower(content), '{w}') THEN 1 ELSE 0 END" for w in words) for name, words in _TOPICS.items()}
+
+
+@query("topic_keyword_matches", ONLY + ", t AS (" + " UNION ALL ".join(f"SELECT id, priority, '{name}' AS topic FROM articles WHERE {met} >= 3" for name, met in _MET.items()) + """)
+SELECT t.id, t.topic, p.past_id FROM t JOIN (SELECT topic, min(id) AS past_id FROM t WHERE priority = 2 GROUP BY 1) p USING (topic) WHERE t.priority <> 2""")
+def topic_keyword_matches(spark, folder):
+    rows = articles(spark, folder)
+    return G.topic_keyword_matches(rows.where("priority != 2"), rows.where("priority = 2"), _TOPICS)
+
+
+@query("multi_source_topics", ONLY + """, tok AS (SELECT id, source_id, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(content), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '[ \\t\\r\\n\\f\\v]+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN (STOPS)))) AS t FROM articles),
+p AS (SELECT a.id AS a, b.id AS b FROM tok a JOIN tok b ON a.id < b.id AND len(a.t) > 0 AND len(b.t) > 0 AND least(len(a.t), len(b.t)) >= 0.6 * greatest(len(a.t), len(b.t))
+  WHERE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.6),
+s AS (SELECT * FROM p WHERE a NOT IN (SELECT b FROM p)), m AS (SELECT a AS seed, b AS member FROM s UNION SELECT a, a FROM s)
+SELECT seed, count(*) AS n, count(DISTINCT source_id) AS sources FROM m JOIN tok ON m.member = tok.id GROUP BY 1 HAVING count(DISTINCT source_id) >= 2 OR count(*) >= 3""".replace("STOPS", ", ".join(f"'{w}'" for w in T.STOP_WORDS)))
+def multi_source_topics(spark, folder):
+    from gleanery.operators import similarity as S
+
+    rows = articles(spark, folder)
+    pairs = S.jaccard_pairs(rows.select("id", T.words(F.col("content")).alias("tokens")), 0.6)
+    return G.multi_source_topics(G.seed_groups(pairs, rows), rows)
+
+
+@query("json_rows", """SELECT event_id, '{"user_id":' || user_id || ',"event_type":"' || event_type || '"}' AS json FROM events""")
+def json_rows(spark, folder):
+    return read(spark, folder, "events").select("event_id", F.to_json(F.struct("user_id", "event_type")).alias("json"))
+
+
+@query("merged_maps", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'high' ELSE 'low' END AS level, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events")
+def merged_maps(spark, folder):
+    rows = read(spark, folder, "events")
+    defaults = F.create_map(F.lit("level"), F.lit("low"), F.lit("k"), F.lit("0"))
+    over = F.map_concat(F.from_json("props", "map<string,string>"), F.when(F.col("event_type") == "error", F.create_map(F.lit("level"), F.lit("high"))).otherwise(F.create_map().cast("map<string,string>")))
+    made = rows.select("event_id", G.merged_maps(defaults, over).alias("m"))
+    return made.select("event_id", F.col("m")["level"].alias("level"), F.col("m")["k"].alias("k"))
+
+
+@query("related_terms", ONLY + """, k AS (SELECT id, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z]+'), lambda w: length(w) > 5))[1:8] AS w, list_distinct(list_filter(['therean', 'enonth', 'ingthe'], lambda t: contains(lower(content), t))) AS n FROM articles)
+SELECT a.id AS a, b.id AS b, len(list_intersect(a.n, b.n)) > 0 OR len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w), 1) >= 0.5 AS related FROM k a JOIN k b ON a.id // 10 = b.id // 10 AND a.id < b.id""")
+def related_terms(spark, folder):
+    terms = ["therean", "enonth", "ingthe"]
+    low = F.lower("content")
+    named = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in terms)))
+    words = F.slice(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), 0), lambda w: F.length(w) > 5)), 1, 8)
+    rows = articles(spark, folder).select("id", F.floor(F.col("id") / 10).alias("g"), named.alias("n"), words.alias("w"))
+    a, b = rows.alias("a"), rows.alias("b")
+    met = a.join(b, F.expr("a.g = b.g and a.id < b.id"))
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.coalesce(G.related(F.col("a.n"), F.col("b.n"), F.col("a.w"), F.col("b.w")), F.lit(False)).alias("related"))
