@@ -57,7 +57,7 @@ def content_violations(points: Column) -> Column:
     """array<violation> of the eleven content rules, in their order."""
     points = clean_points(points)
     text = F.array_join(points, "\n")
-    trimmed = F.transform(points, F.trim)
+    trimmed = F.transform(points, lambda p: F.trim(p))  # not F.trim itself, which would take the place for characters to trim
     size = F.size(points)
     polite, casual = _some(text, X.POLITE), _some(text, X.CASUAL)
     words = F.flatten(F.transform(points, lambda p: F.regexp_extract_all(p, F.lit(X.CONTENT_WORD), 0)))

@@ -41,6 +41,12 @@ def test_content_rules(spark):
     assert {r[0] for r in meta} == {"PROD_META_TEXT", "PROD_INSUFFICIENT_DETAIL", "PROD_VAGUE_CONTENT", "PROD_TITLE_TOO_SHORT", "PROD_INSUFFICIENT_POINTS"}
 
 
+def test_points_keep_the_digits_of_their_places(spark):
+    points = ["10 rows and 2010", "11 rows or 1", "22 rows and 22"]
+    assert [r[3] for r in rules_of(spark, points, "proper_sentence_ending")] == [p[-10:] for p in points]
+    assert [r[3] for r in rules_of(spark, points, "bullet_point_length")] == [str(len(p)) for p in points]
+
+
 def test_matches_have_places(spark):
     text = "この a その。どの b"
     df = spark.createDataFrame([(text,)], "t string")
