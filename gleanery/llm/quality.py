@@ -18,6 +18,8 @@ BUCKETS_LOG2, DIM = 18, 16
 SAMPLE = 6000
 #: Buckets of all the documents that it is fitted on, at most.
 ENTRIES = 40_000_000
+#: Buckets that come to the driver at a time, more only where one document has more.
+ARRIVING = 2_000_000
 EPOCHS, RATE = 6, 0.6
 #: Bytes whose features are made at a time; longer texts are taken in blocks that end at white space.
 AT_ONCE = 1 << 20
@@ -132,6 +134,26 @@ class Model:
         return score(text)
 
 
+def ranges(sizes: list[tuple[int, int]], most: int = ARRIVING) -> Iterator[tuple[int, int]]:
+    """First and last key of runs of sorted (key, size), of `most` in all each or of one key."""
+    first, held = None, 0
+    for i, (key, n) in enumerate(sizes):
+        if first is not None and held + n > most:
+            yield first, sizes[i - 1][0]
+            first, held = None, 0
+        first, held = key if first is None else first, held + n
+    if first is not None:
+        yield first, sizes[-1][0]
+
+
+def arrived(bags_of: DataFrame) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], int]]:
+    """(ids, shares), label of rows in the order of their keys: copies of four bytes a number, so that no table stays with them."""
+    got = bags_of.select("_key", "_label", "ids", "shares").toArrow()
+    ids, shares = (got[c] for c in ("ids", "shares"))
+    for i in np.argsort(got["_key"].to_numpy(), kind="stable").tolist():
+        yield (np.array(ids[i].values, np.int32), np.array(shares[i].values, np.float32)), got["_label"][i].as_py()
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
     """Fits on at most `sample` labelled texts that labelled_texts() gives for `learn`, a condition on doc_id, and of these on no more than have
     `entries` buckets in all, so that the driver's memory is bounded whatever the texts' lengths. Texts are learned in the order of their hashes;
@@ -149,13 +171,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     bags_of = written(rows.mapInArrow(count, "_key long, _label int, size long, ids array<int>, shares array<float>"))
     sizes = sorted((r._key, r.size) for r in bags_of.select("_key", "size").collect())  # `sample` rows at most
     upto = np.cumsum([n for _, n in sizes])
-    last = max((k for (k, _), n in zip(sizes, upto) if n <= entries), default=None)
-    if last is None:
+    sizes = [(k, n) for (k, n), total in zip(sizes, upto) if total <= entries]
+    if not sizes:
         return Model(np.zeros(1 << BUCKETS_LOG2, np.float32), 0.0)
-    got = bags_of.where(F.col("_key") <= last).toArrow().sort_by("_key")
-    bags = [(np.asarray(i, np.int64), np.asarray(s, np.float32)) for i, s in zip(*([x.values.to_numpy(zero_copy_only=False) for x in got[c]] for c in ("ids", "shares")))]
+    bags, marks = [], []
+    for first, last in ranges(sizes):
+        for found, label in arrived(bags_of.where(F.col("_key").between(first, last))):
+            bags.append(found)
+            marks.append(label)
     discard(rows, bags_of)
-    return Model(*train(bags, got["_label"].to_numpy().astype(np.int64)))
+    model = Model(*train(bags, np.array(marks, np.int64)))
+    del bags
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -186,6 +186,12 @@ def surest(documents: list[list[str]], clean: dict[str, int], docs: int) -> dict
     return out
 
 
+def shared_names(lists: pa.ChunkedArray) -> list[list[str]]:
+    """The lists of strings, each different string one object, so that a feature takes no more memory in many documents than in one."""
+    one: dict[str, str] = {}
+    return [[one.setdefault(n, n) for n in names_.as_py() or ()] for names_ in lists]
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fits on at most `sample` labelled texts that labelled_texts() gives for `learn`, a condition on doc_id: see surest(). The character model is of
     the same texts' words as they stand, and restores their tokens too. Ties among features go to the shorter name, then by letters. Without toxic
@@ -239,11 +245,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     toxic = made.where("kind = 1").select(F.monotonically_increasing_id().alias("doc"), "names")
     often = toxic.select(number.alias("i", "name")).groupBy("name").agg(F.count("*").alias("t")).where("t > 2").select("name")
     kept = toxic.select("doc", F.explode("names").alias("name")).join(often, "name").groupBy("doc").agg(F.array_sort(F.collect_list("name")).alias("names"))
-    documents = sorted(kept.toArrow()["names"].to_pylist())
+    documents = sorted(shared_names(kept.toArrow()["names"]))
     seen = counts.join(often, "name").select("name", "n").toArrow()
     clean = dict(zip(seen["name"].to_pylist(), seen["n"].to_pylist()))
     docs_seen = made.where("kind < 2").count()
-    return Model(surest(documents, clean, docs_seen), chars, FLOOR)
+    model = Model(surest(documents, clean, docs_seen), chars, FLOOR)
+    del documents, seen, clean
+    spelled.unpersist()
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -163,3 +163,14 @@ def test_restored_words_are_the_likeliest_of_all():
         best = min(every_reading(token, chars))
         cost = {w: c for c, w in sorted(every_reading(token, chars), reverse=True)}[toxicity.restore(token, chars)]
         assert abs(cost - best[0]) < 1e-9, token
+
+
+def test_fits_hold_little_on_the_driver(spark):
+    sizes = [(-5, 4), (-1, 4), (0, 9), (3, 1), (7, 1)]
+    assert list(quality.ranges(sizes, 8)) == [(-5, -1), (0, 0), (3, 7)] and list(quality.ranges([], 8)) == []
+    rows = spark.createDataFrame([(3, 1, [7, 9], [0.5, 0.5]), (-2, 0, [], []), (1, 0, [4], [1.0])], "_key long, _label int, ids array<int>, shares array<float>")
+    got = list(quality.arrived(rows))
+    assert [(x.tolist(), y.tolist(), label) for (x, y), label in got] == [([], [], 0), ([4], [1.0], 0), ([7, 9], [0.5, 0.5], 1)]
+    assert all(x.dtype == np.int32 and x.base is None for (x, _), _ in got)
+    names = toxicity.shared_names(spark.createDataFrame([(["abcd", "bcde"],), (["bcde"],)], "n array<string>").toArrow()["n"])
+    assert sorted(names, key=len) == [["bcde"], ["abcd", "bcde"]] and len({id(n) for ns in names for n in ns}) == 2
