@@ -351,6 +351,9 @@ WORD_PAIRS = ((0, 1), (2, 3), (4, 5))
 SPARE = 0.075
 #: The least sure bits of a word, which are tried both ways, and the likeliest codeword pairs kept for a pair of words.
 UNSURE, LIKELIEST = 4, 64
+#: Bins that shingles are counted in to be put in order, and how many of them travel in one row.
+BINS_LOG2, CHUNK = 20, 1 << 14
+BIN_MASK = np.uint32((1 << BINS_LOG2) - 1)
 
 
 def likely_keys(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -428,13 +431,114 @@ def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def shingle_counts(rows: DataFrame, words: int) -> np.ndarray:
+    """int64[1 << BINS_LOG2]: how many texts of rows (text) have a shingle of each bin. It settles an order of shingles and nothing else."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << BINS_LOG2, np.int64)
+        for batch in batches:
+            for body in batch.column(0).cast(pa.binary()).to_pylist():
+                bins, n = np.unique(short_hashes(shingle_hashes(body or b"", words)) & BIN_MASK, return_counts=True)
+                sums[bins] += n
+        for i in range(0, len(sums), CHUNK):
+            if sums[i : i + CHUNK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK]), pa.array([pa.compress(sums[i : i + CHUNK].tobytes(), "zstd", asbytes=True)])], names=["chunk", "n"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(pa.decompress(b.as_py(), CHUNK * 8, "zstd", asbytes=True), np.int64) for b in t["n"])
+        return pa.table({"chunk": t["chunk"][:1], "n": pa.array([total.tobytes()], pa.binary())})
+
+    sums = np.zeros(1 << BINS_LOG2, np.int64)
+    for r in rows.mapInArrow(count, "chunk long, n binary").groupBy("chunk").applyInArrow(add, "chunk long, n binary").toArrow().to_pylist():  # the bins at most
+        sums[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["n"], np.int64)
+    return sums
+
+
+def short_hashes(h: np.ndarray) -> np.ndarray:
+    """The sorted distinct uint32 that a set of shingle hashes is compared by."""
+    return np.unique((h >> np.uint64(32)).astype(np.uint32))
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's hashes, those of the rarest bins first: two sets of at least that Jaccard similarity, which have that share of the larger
+    one in common, share one of them."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    k = n - int(np.ceil(similarity * n - 1e-6)) + 1
+    order = (counts[hashes & BIN_MASK].astype(np.uint64) << np.uint64(32)) | hashes
+    return np.sort(np.partition(order, k - 1)[:k]).astype(np.uint32)
+
+
+def _alike_in(t: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b): nodes of one bucket, of different groups, whose sizes and places of the shared hash allow the similarity."""
+    node, group, size, rest = t["node"], t["group"], t["size"].astype(np.int64), t["size"].astype(np.int64) - t["at"]
+    step = max(1, (1 << 21) // len(node))
+    for i in range(0, len(node), step):
+        x = slice(i, i + step)
+        least = (similarity * (size[x, None] + size[None]) - 1e-6) / (1 + similarity)
+        ok = (group[x, None] != group[None]) & (node[x, None] < node[None]) & (np.minimum(rest[x, None], rest[None]) >= least)
+        a, b = np.nonzero(ok)
+        yield node[a + i], node[b]
+
+
+def _pairs_in(t: dict[str, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """_alike_in() over all buckets of a table sorted by key, each pair once."""
+    key = t["key"]
+    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.append(cuts, len(key)))
+    mixed = np.minimum.reduceat(t["group"], cuts) != np.maximum.reduceat(t["group"], cuts)
+    parts = [np.zeros((2, 0), np.int64)]
+    for start, n in zip(cuts[mixed].tolist(), sizes[mixed].tolist()):
+        parts += [np.stack(p) for p in _alike_in({k: v[start : start + n] for k, v in t.items()}, similarity)]
+    a, b = np.unique(np.concatenate(parts, axis=1), axis=1)
+    return a, b
+
+
+def prefix_pairs(nodes: DataFrame, similarity: float, large: int = LARGE) -> DataFrame:
+    """(a, b): all pairs of nodes (node, group, size, prefix) of different groups whose sets can have the similarity: see prefix(). A pair may come
+    more than once. Buckets of over `large` members are compared by pairs of blocks, each in a task of its own."""
+    columns = ["key", "node", "group", "size", "at"]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, whole in _runs(batches, large):
+            large_ones = np.zeros(len(t["key"]), bool)
+            if whole:
+                large_ones[:] = True
+            else:
+                _, number, n = np.unique(t["key"], return_inverse=True, return_counts=True)
+                large_ones = n[number] > large
+            a, b = _pairs_in({k: v[~large_ones] for k, v in t.items()}, similarity) if not large_ones.all() else (np.zeros(0, np.int64),) * 2
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int64())] * 5], names=["a", "b", *columns])
+            if large_ones.any():
+                n = int(large_ones.sum())
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 2, *(pa.array(t[c][large_ones]) for c in columns)], names=["a", "b", *columns])
+
+    def compare(t: pa.Table) -> pa.Table:
+        a, b = _pairs_in({c: t[c].to_numpy() for c in columns}, similarity)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = nodes.select(F.posexplode("prefix").alias("at", "key"), "node", "group", "size").select(*(F.col(c).cast("long").alias(c) for c in columns))
+    met = written(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(go, "a long, b long, " + ", ".join(f"{c} long" for c in columns)))
+    pairs, members = met.where("a is not null").select("a", "b"), met.where("a is null").select(*columns)
+    if members.isEmpty():
+        return pairs
+    cut = members.groupBy(F.col("key").alias("of")).agg(F.ceil(F.count("*") / F.lit(max(1, large // 2))).alias("m"))
+    placed = members.join(cut, F.col("key") == F.col("of")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("m")))
+    both = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).withColumn("x", F.least("i", "j")).withColumn("y", F.greatest("i", "j"))
+    return pairs.union(both.select(*columns, "x", "y").groupBy("key", "x", "y").applyInArrow(compare, "a long, b long"))
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, large: int = LARGE, row: str | None = None) -> DataFrame:
     """(row if named, doc_id, component_id, first): a row for each row of docs.
 
-    Links join texts whose sets of word shingles have a Jaccard similarity of at least `similarity`, checked on the sets. Candidates are texts whose
+    Links join all texts whose sets of word shingles have a Jaccard similarity of at least `similarity`, checked on the sets. Candidates are texts whose
     192-bit SimHash agrees in nearly as many bits as such texts' do on average (SPARE fewer) and that share a key; within a key's bucket each
     text is paired with the nearest joined before it. First each text's nearest candidate is checked, then all that would join groups not
-    yet one. component_id is the smallest doc_id of the group that links connect; first marks one row of each group: that of smallest id (rows
+    yet one. What neither keys nor the nearest find is found exactly: pairs of groups not yet one that share a shingle of their prefixes, which
+    two sets of that similarity always do, are checked as well. component_id is the smallest doc_id of the group that links connect; first marks one row of each group: that of smallest id (rows
     without an id last), then text, then row (a unique long; without it rows of equal id and text are all marked).
 
     Null and empty texts, and those of blanks, are copies of each other. Repeated ids are kept apart by their texts. Buckets of over `large`
@@ -444,6 +548,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     cosine = 2 * similarity / (1 + similarity)  # of two sets of equal size
     most = int(64 * WIDE * (np.arccos(cosine) / np.pi + SPARE))
     key = F.col(row).cast("long") if row else F.lit(0).cast("long")
+    rows = docs.select(key.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(rows.select("text"), words))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = golay.index_table()
@@ -451,21 +557,25 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
                 margins, ids = np.zeros((part.num_rows, 64 * WIDE)), np.zeros((2, part.num_rows), np.uint64)
+                sizes, firsts = np.zeros(part.num_rows, np.int32), []
                 for r, body in enumerate(part.column(2).cast(pa.binary()).to_pylist()):
                     h = shingle_hashes(body or b"", words)
                     margins[r], ids[:, r] = _margins(h), (xxhash.xxh64_intdigest(h.tobytes()), xxhash.xxh64_intdigest(body or b""))
+                    short = short_hashes(h)
+                    sizes[r] = len(short)
+                    firsts.append(prefix(short, counts.value, similarity).view(np.int32))
                 prints = _packed(margins > 0).view(np.int64)
                 rows, keys = likely_keys(margins, code)
                 order = np.argsort(rows, kind="stable")
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[order], np.arange(part.num_rows + 1)).astype(np.int32)), pa.array(keys[order].astype(np.int32)))
-                columns = [*(pa.array(x.view(np.int64)) for x in ids), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(WIDE)), lists]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["row", "doc_id", "set", "body", *names, "keys"])
+                columns = [*(pa.array(x.view(np.int64)) for x in ids), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(WIDE)), lists, pa.array(sizes), pa.array(firsts, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["row", "doc_id", "set", "body", *names, "keys", "size", "prefix"])
 
-    rows = docs.select(key.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    made = written(rows.mapInArrow(make, f"row long, doc_id long, set long, body long, {', '.join(f'{n} long' for n in names)}, keys array<int>"))
+    made = written(rows.mapInArrow(make, f"row long, doc_id long, set long, body long, {', '.join(f'{n} long' for n in names)}, keys array<int>, size int, prefix array<int>"))
+    counts.unpersist()
     # Equal sets are one node; its texts have the same fingerprint and keys. It is read again from the text of one of its rows.
     same = ["set", *names]
-    nodes = made.groupBy(*same).agg(F.min(F.struct("doc_id", "row", "body")).alias("of"), F.first("keys").alias("keys"))
+    nodes = made.groupBy(*same).agg(F.min(F.struct("doc_id", "row", "body")).alias("of"), *(F.first(c).alias(c) for c in ("keys", "size", "prefix")))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
     keyed = nodes.select(F.explode(F.col("keys").cast("array<long>")).alias("key"), "node", *names)
     met = written(_meet(keyed, names, most, False, large, shortest))
@@ -478,26 +588,33 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_hashes(t or b"", words) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            sets = pa.array([np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in found], pa.binary())
+            sets = pa.array([short_hashes(h).tobytes() for h in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([xxhash.xxh64_intdigest(h.tobytes()) for h in found], pa.uint64()).view(pa.int64()), sets], names=["row", "doc_id", "set", "hashes"])
 
-    asked = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "set", F.col("of.doc_id").alias("doc_id"), F.col("of.row").alias("row")), "node")
-    texts = rows.join(asked.select(F.col("row").alias("r"), F.col("doc_id").alias("d")).distinct(), (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    sets = texts.mapInArrow(hashes, "row long, doc_id long, set long, hashes binary").withColumnsRenamed({"row": "r", "doc_id": "d", "set": "s"})
-    sets = sets.join(asked, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("set") == F.col("s")))
-    sets = written(sets.groupBy("node").agg(F.first("hashes").alias("hashes")))
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """(node, hashes) of all ends of the pairs."""
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "set", F.col("of.doc_id").alias("doc_id"), F.col("of.row").alias("row")), "node")
+        texts = rows.join(asked.select(F.col("row").alias("r"), F.col("doc_id").alias("d")).distinct(), (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+        sets = texts.mapInArrow(hashes, "row long, doc_id long, set long, hashes binary").withColumnsRenamed({"row": "r", "doc_id": "d", "set": "s"})
+        sets = sets.join(asked, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("set") == F.col("s")))
+        return written(sets.groupBy("node").agg(F.first("hashes").alias("hashes")))
+
     # Each node's nearest candidate, then whatever joins groups that aren't one yet.
     ends = edges.select("a", "b", F.posexplode(F.array("a", "b")).alias("end", "node"), "bits")
-    nearest = ends.groupBy("node").agg(F.min(F.struct("bits", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
+    nearest = written(ends.groupBy("node").agg(F.min(F.struct("bits", "a", "b")).alias("e")).select("e.a", "e.b").distinct())
+    sets = sets_of(nearest)
     links = written(similar(nearest, sets, similarity))
     label = written(components(links))
     of = lambda end: label.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
     apart = edges.join(nearest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-    label = components(links.union(similar(apart, sets, similarity)))
+    grouped = nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("group"), "size", "prefix")
+    apart = written(apart.select("a", "b").union(prefix_pairs(grouped, similarity, large)).distinct().join(nearest, ["a", "b"], "left_anti"))
+    more = sets_of(apart)
+    label = components(links.union(similar(apart, more, similarity)))
     named = nodes.join(label, "node", "left").select(*(F.col(n).alias(f"_{n}") for n in same), F.coalesce("component", "node").alias("group"))
-    grouped = written(made.drop("keys").join(named, [made[n] == named[f"_{n}"] for n in same]).select("row", "doc_id", "body", "group"))
+    grouped = written(made.drop("keys", "size", "prefix").join(named, [made[n] == named[f"_{n}"] for n in same]).select("row", "doc_id", "body", "group"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "body", "row")
     firsts = grouped.groupBy(F.col("group").alias("g")).agg(F.min("doc_id").alias("component_id"), F.min(order).alias("order"))
     out = grouped.join(firsts, F.col("group") == F.col("g")).select("row", "doc_id", "component_id", (order == F.col("order")).alias("first"))
-    discard(made, nodes, met, edges, sets, links)
+    discard(made, nodes, met, edges, nearest, sets, links, apart, more)
     return out if row else out.drop("row")

@@ -154,6 +154,17 @@ def test_large_buckets_link_as_small_ones_do(spark):
     assert found[0] <= found[1]
 
 
+def test_no_link_is_left_out(spark):
+    """Every pair of 0.8 or more is in one group, whether its fingerprints meet or not, and whatever the size of buckets."""
+    for low, high, seed in ((60, 600, 1), (5, 60, 3)):
+        rows, pairs = near_pairs([(i, t) for i, t in docs_of(spark) if low < len(t.split()) < high][:120], seed)
+        sets = {i: shingles(t) for i, t in rows}
+        pairs += [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+        for large in (simhash.LARGE, 3):
+            got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows), large=large).collect()}
+            assert [p for p in pairs if got[p[0]] != got[p[1]]] == []
+
+
 def test_short_near_copies(spark):
     """Texts of 9 to 40 words, whose copies lack their last or first word: 0.8 of the shingles or more are left."""
     rng = np.random.default_rng(2)
