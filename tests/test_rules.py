@@ -106,6 +106,24 @@ def test_density_groups(spark):
     assert D.density_groups(frame.limit(0), 0.3, 8).count() == 0
 
 
+def test_close_pairs_in_blocks(spark):
+    """All pairs, however the vectors fall into blocks, and their groups; no pair of places is joined to itself."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(400, 16))
+    v[200:] = v[:200] + rng.normal(size=(200, 16)) * 0.06
+    rows = [(i, x) for i, x in enumerate(v.tolist())] + [(400, v[7].tolist())]
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(2 - 2 * unit @ unit.T <= 0.09, 1)))} | {(7, 400)}
+    assert 100 < len(want) < 400
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (D.BLOCK, 50):
+        assert [tuple(r) for r in D.close_pairs(frame, 0.3, 16, block=block).orderBy("a", "b").collect()] == sorted(want)
+        groups = lambda pairs: {(r.id, r.root) for r in D.linked(pairs).collect()}
+        assert groups(D.close_pairs(frame, 0.3, 16, block=block, forest=True)) == groups(spark.createDataFrame(sorted(want), "a long, b long"))
+
+
 def test_sections_and_numbered(spark):
     docs = spark.createDataFrame([(1, "lead\nmore\n# A\nx\n## B\ny"), (2, None), (3, "")], "id long, t string")
     got = [tuple(r) for r in M.sections(docs, "id", "t").where("id = 1").orderBy("place").collect()]
