@@ -14,10 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import crc32_of_id, labelled_texts, table, written
+from gleanery.llm.common import all_labelled_texts, crc32_of_id, discard, table, written
 
-#: Labelled documents that words are learned from, at most: those of the smallest hashes of their ids.
-SAMPLE = 10_000
 #: Length of the word beginnings that are features besides whole words.
 STEMS = (4, 5, 6, 7)
 #: Scores of tokens that are remembered at a time; longest word that is a feature as a whole, or that the character model learns from.
@@ -37,17 +35,23 @@ DROPPED = set(".-_*~'`^,:;/\\")
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
 
 
+def trigrams(words: dict[str, int]) -> Counter:
+    out: Counter = Counter()
+    for word, n in words.items():
+        for abc in zip("^^" + word, "^" + word, word + "$"):
+            out[abc] += n
+    return out
+
+
 class CharModel:
     """A smoothed character trigram model of words."""
 
-    def __init__(self, words: Counter) -> None:
-        self.tri, self.bi, letters = Counter(), Counter(), set()
-        for word, n in words.items():
-            letters.update(word)
-            for a, b, c in zip("^^" + word, "^" + word, word + "$"):
-                self.tri[a, b, c] += n
-                self.bi[a, b] += n
-        self.size = len(letters) + 2
+    def __init__(self, words: Counter, tri: Counter | None = None) -> None:
+        """From words, or from counts of what they have of three characters running, ^ before and $ after them."""
+        self.tri, self.bi = trigrams(words) if tri is None else tri, Counter()
+        for (a, b, _), n in self.tri.items():
+            self.bi[a, b] += n
+        self.size = len({c for *_, c in self.tri}) + 1 + (not self.tri)  # $ is among them, ^ is not
         self.known: dict[tuple[str, str, str], float] = {}
 
     def cost(self, a: str, b: str, c: str) -> float:
@@ -152,20 +156,25 @@ class Model(dict):
         return score(text)
 
 
-def surest(documents: list[list[str]], clean: dict[str, int], docs: int) -> dict[str, float]:
-    """Scores of the features that explain the toxic documents, each given as its features.
+def support_of(toxic: int, docs: int, features: int) -> int:
+    """So many toxic documents a feature must have: more than chance would give to any of all features."""
+    rate = min(0.9, max(toxic / max(docs, 1), 1e-6))
+    return max(3, math.ceil(math.log(features + 1) / -math.log(rate)))
+
+
+def surest(documents: dict[tuple[str, ...], int], clean: dict[str, int], support: int) -> dict[str, float]:
+    """Scores of the features that explain the toxic documents, given as their features and how many documents have these and no others.
 
     Feature after feature is chosen: the one with the most toxic documents not explained yet, AGAINST taken off for each clean document that has
     it. Words that merely stand beside a toxic one, as in copies of a toxic text, are so left with no document to explain. A feature must have
-    more documents than chance would give to any of all features. Its score is the lower bound (Wilson, one deviation) of its toxic share.
+    `support`. Its score is the lower bound (Wilson, one deviation) of its toxic share.
     """
     holders: dict[str, list[int]] = {}
+    sizes = list(documents.values())
     for i, names_ in enumerate(documents):
         for name in names_:
             holders.setdefault(name, []).append(i)
-    total = {n: len(h) for n, h in holders.items()}
-    rate = min(0.9, max(len(documents) / max(docs, 1), 1e-6))
-    support = max(3, math.ceil(math.log(len(holders) + 1) / -math.log(rate)))
+    total = {n: sum(sizes[i] for i in h) for n, h in holders.items()}
     gain = {n: t - AGAINST * clean.get(n, 0) for n, t in total.items()}
     gain = {n: g for n, g in gain.items() if g >= support}
     explained, out = set(), {}
@@ -173,7 +182,7 @@ def surest(documents: list[list[str]], clean: dict[str, int], docs: int) -> dict
     heapq.heapify(heap)
     while heap:
         was, _, name = heapq.heappop(heap)
-        now = sum(i not in explained for i in holders[name]) - AGAINST * clean.get(name, 0)
+        now = sum(sizes[i] for i in holders[name] if i not in explained) - AGAINST * clean.get(name, 0)
         if now < support:
             continue
         if now < -was:  # gains only fall: the heap's top is best if it is up to date
@@ -192,9 +201,10 @@ def shared_names(lists: pa.ChunkedArray) -> list[list[str]]:
     return [[one.setdefault(n, n) for n in names_.as_py() or ()] for names_ in lists]
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` labelled texts that labelled_texts() gives for `learn`, a condition on doc_id: see surest(). The character model is of
-    the same texts' words as they stand, and restores their tokens too. Ties among features go to the shorter name, then by letters. Without toxic
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """Fits on all labelled texts that all_labelled_texts() gives for `learn`, a condition on doc_id: see surest(). The character model is of the same
+    texts' words as they stand, and restores their tokens too. The driver gets the counts of three characters running, and of the toxic documents
+    no more than the features that can be chosen: those that have the support before any document is explained, for gains only fall. Ties among features go to the shorter name, then by letters. Without toxic
     rows every score is the floor."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,17 +215,28 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
                 words.update({w for t in words_of(body or "") for w in plain(t) if len(w) <= LONGEST})
         yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["name", "n"])
 
-    rows = labelled_texts(docs, labels, learn, sample, doc_id, text, label).select("_label", "_text")
-    seen = rows.mapInArrow(spell, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    chars = CharModel(Counter(dict(zip(seen["name"].to_pylist(), seen["n"].to_pylist()))))
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            counts += trigrams(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
+        yield pa.RecordBatch.from_arrays([pa.array(["".join(abc) for abc in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["abc", "n"])
+
+    rows = all_labelled_texts(docs, labels, learn, doc_id, text, label).select("_label", "_text")
+    words = rows.mapInArrow(spell, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
+    seen = words.mapInArrow(triples, "abc string, n long").groupBy("abc").agg(F.sum("n").alias("n")).toArrow()
+    chars = CharModel(Counter(), Counter({tuple(abc): n for abc, n in zip(seen["abc"].to_pylist(), seen["n"].to_pylist())}))
     del seen
     spelled = docs.sparkSession.sparkContext.broadcast((dict(chars.tri), dict(chars.bi), chars.size))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(kind, name, n, names): toxic documents as they are; counts of clean documents by feature."""
+        """(kind, name, n, names): toxic documents as they are; the number of clean ones; counts of clean documents by feature."""
         clean: Counter = Counter()
-        rows: list[tuple] = []
         known: dict[str, set[str]] = {}
+        types = (pa.int32(), pa.string(), pa.int64(), pa.list_(pa.string()))
+
+        def made_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], names=["kind", "name", "n", "names"])
+
         here = CharModel(Counter())
         here.tri, here.bi, here.size = spelled.value
 
@@ -227,30 +248,38 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
             return found
 
         for batch in batches:
+            rows, others = [], 0
             for toxic, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 mine = set(itertools.chain.from_iterable(map(features, words_of(body or ""))))
                 if toxic:
                     rows.append((1, None, 1, sorted(mine)))
                 else:
                     clean.update(mine)
-                    rows.append((0, None, 1, None))
-        rows += [(2, n, c, None) for n, c in clean.items()]
-        types = (pa.int32(), pa.string(), pa.int64(), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], names=["kind", "name", "n", "names"])
+                    others += 1
+            if others:
+                rows.append((0, None, others, None))
+            if len(clean) > REMEMBERED:
+                rows += [(2, n, c, None) for n, c in clean.items()]
+                clean.clear()
+            yield made_of(rows)
+        yield made_of([(2, n, c, None) for n, c in clean.items()])
 
     made = written(rows.mapInArrow(collect, "kind int, name string, n long, names array<string>"))
     counts = made.where("kind = 2").groupBy("name").agg(F.sum("n").alias("n"))
-    # Features of three toxic documents or more are all that can be chosen; of these the clean documents' counts matter.
-    number = F.posexplode(F.col("names"))
     toxic = made.where("kind = 1").select(F.monotonically_increasing_id().alias("doc"), "names")
-    often = toxic.select(number.alias("i", "name")).groupBy("name").agg(F.count("*").alias("t")).where("t > 2").select("name")
-    kept = toxic.select("doc", F.explode("names").alias("name")).join(often, "name").groupBy("doc").agg(F.array_sort(F.collect_list("name")).alias("names"))
-    documents = sorted(shared_names(kept.toArrow()["names"]))
-    seen = counts.join(often, "name").select("name", "n").toArrow()
-    clean = dict(zip(seen["name"].to_pylist(), seen["n"].to_pylist()))
-    docs_seen = made.where("kind < 2").count()
-    model = Model(surest(documents, clean, docs_seen), chars, FLOOR)
-    del documents, seen, clean
+    # Features of three toxic documents or more are all that can be chosen.
+    often = toxic.select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("t")).where("t > 2")
+    seen = written(often.join(counts, "name", "left").select("name", "t", F.coalesce("n", F.lit(0)).alias("n")))
+    kinds = {r.kind: r.n for r in made.where("kind < 2").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    support = support_of(kinds.get(1, 0), sum(kinds.values()), seen.count())
+    chosen = seen.where(F.col("t") - AGAINST * F.col("n") >= support)
+    kept = toxic.select("doc", F.explode("names").alias("name")).join(chosen, "name").groupBy("doc").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    kept = kept.groupBy("names").agg(F.count("*").alias("n")).toArrow()
+    documents = dict(sorted(zip(map(tuple, shared_names(kept["names"])), kept["n"].to_pylist())))
+    clean = {r.name: r.n for r in chosen.select("name", "n").collect()}
+    model = Model(surest(documents, clean, support), chars, FLOOR)
+    del documents, kept, clean
+    discard(made, seen)
     spelled.unpersist()
     pa.default_memory_pool().release_unused()
     return model

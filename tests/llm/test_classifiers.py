@@ -133,6 +133,15 @@ def test_a_label_repeated_many_times_is_one_row(spark):
     quality.fit(rows, marks, F.lit(True), entries=2000)
 
 
+def test_toxicity_learns_from_all_labelled_texts(spark):
+    """Of 24,000 labelled texts four each have one of 40 words; none of these is left out."""
+    words = ["".join(SYLLABLES[(i * k + k) % 15] for k in (1, 4, 7)) + f"x{'abcdefgh'[i % 8]}{'qwzjk'[i // 8]}" for i in range(40)]
+    docs = [(i, f"there {words[i % 600]}" if i < 2400 and i % 600 < 40 else f"there and then {SYLLABLES[i % 15]}") for i in range(24_000)]
+    marks = [(i, 1, int(i < 2400 and i % 600 < 40), "t") for i, _ in docs]
+    model = toxicity.fit(frame(spark, docs), spark.createDataFrame(marks, LABELS), F.lit(True))
+    assert [w for w in words if model.score(f"there {w}") < 0.5] == [] and model.score("there and then") < 0.5
+
+
 def every_reading(token, chars):
     """(cost, word) of all ways to read, hold or drop the characters of a token."""
 
