@@ -470,35 +470,55 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndar
     return np.sort(np.partition(order, k - 1)[:k]).astype(np.uint32)
 
 
-def _alike_in(t: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(a, b): nodes of one bucket, of different groups, whose sizes and places of the shared hash allow the similarity."""
-    node, group, size, rest = t["node"], t["group"], t["size"].astype(np.int64), t["size"].astype(np.int64) - t["at"]
-    step = max(1, (1 << 21) // len(node))
-    for i in range(0, len(node), step):
-        x = slice(i, i + step)
-        least = (similarity * (size[x, None] + size[None]) - 1e-6) / (1 + similarity)
-        ok = (group[x, None] != group[None]) & (node[x, None] < node[None]) & (np.minimum(rest[x, None], rest[None]) >= least)
-        a, b = np.nonzero(ok)
-        yield node[a + i], node[b]
-
-
-def _pairs_in(t: dict[str, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """_alike_in() over all buckets of a table sorted by key, each pair once."""
-    key = t["key"]
+def _met_in(t: dict[str, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, group, root) of the members of one bucket whose size and place of the shared hash allow the similarity to a member of another group.
+    Members that such pairs, or groups, connect have the same root, the smallest of their groups; so no list of all pairs is made."""
+    group, size, rest = t["group"], t["size"].astype(np.int64), t["size"].astype(np.int64) - t["at"]
+
+    def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        least = (similarity * (size[x, None] + size[None, y]) - 1e-6) / (1 + similarity)
+        return (group[x, None] != group[None, y]) & (np.minimum(rest[x, None], rest[None, y]) >= least)
+
+    n = len(group)
+    step, every = max(1, (1 << 21) // n), np.arange(n)
+    left = np.concatenate([every[i : i + step][alike(every[i : i + step], every).any(1)] for i in range(0, n, step)])
+    met, root = left, np.zeros(n, np.int64)
+    while len(left):
+        ring, left, whole = left[:1], left[1:], [left[:1]]
+        while len(ring) and len(left):
+            near = np.zeros(len(left), bool)
+            for i in range(0, len(ring), step):
+                x = ring[i : i + step]
+                near |= (alike(x, left) | (group[x, None] == group[None, left])).any(0)
+            ring, left = left[near], left[~near]
+            whole.append(ring)
+        whole = np.concatenate(whole)
+        root[whole] = group[whole].min()
+    return t["node"][met], group[met], root[met]
+
+
+def _all_met_in(t: dict[str, np.ndarray], similarity: float) -> np.ndarray:
+    """int64[3, n]: _met_in() over all buckets of a table sorted by key, each row once."""
+    key, group = t["key"], t["group"]
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.append(cuts, len(key)))
-    mixed = np.minimum.reduceat(t["group"], cuts) != np.maximum.reduceat(t["group"], cuts)
-    parts = [np.zeros((2, 0), np.int64)]
-    for start, n in zip(cuts[mixed].tolist(), sizes[mixed].tolist()):
-        parts += [np.stack(p) for p in _alike_in({k: v[start : start + n] for k, v in t.items()}, similarity)]
-    a, b = np.unique(np.concatenate(parts, axis=1), axis=1)
-    return a, b
-
-
-def prefix_pairs(nodes: DataFrame, similarity: float, large: int = LARGE) -> DataFrame:
-    """(a, b): all pairs of nodes (node, group, size, prefix) of different groups whose sets can have the similarity: see prefix(). A pair may come
-    more than once. Buckets of over `large` members are compared by pairs of blocks, each in a task of its own."""
-    columns = ["key", "node", "group", "size", "at"]
+    low = np.minimum.reduceat(group, cuts)
+    mixed = low != np.maximum.reduceat(group, cuts)
+    i, size = cuts[mixed & (sizes == 2)], t["size"].astype(np.int64)
+    rest = size - t["at"]
+    ok = np.minimum(rest[i], rest[i + 1]) >= (similarity * (size[i] + size[i + 1]) - 1e-6) / (1 + similarity)
+    i, root = i[ok], low[mixed & (sizes == 2)][ok]
+    parts = [np.stack([t["node"][x], group[x], root]) for x in (i, i + 1)]
+    more = mixed & (sizes > 2)
+    parts += [np.stack(_met_in({k: v[start : start + n] for k, v in t.items()}, similarity)) for start, n in zip(cuts[more].tolist(), sizes[more].tolist())]
+    return np.unique(np.concatenate(parts, axis=1), axis=1)
+
+
+def prefix_mates(nodes: DataFrame, similarity: float, large: int = LARGE) -> DataFrame:
+    """(node, group, root): the nodes (node, group, size, prefix) that share a hash of their prefixes with one of another group so that their sets can
+    have the similarity (see prefix()); groups of which such nodes meet are connected over roots, which are groups. At most a row for each hash of
+    a prefix, however many meet. Buckets of over `large` members are compared by pairs of blocks, each in a task of its own."""
+    columns, out = ["key", "node", "group", "size", "at"], ["a", "of", "root"]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, whole in _runs(batches, large):
@@ -508,27 +528,85 @@ def prefix_pairs(nodes: DataFrame, similarity: float, large: int = LARGE) -> Dat
             else:
                 _, number, n = np.unique(t["key"], return_inverse=True, return_counts=True)
                 large_ones = n[number] > large
-            a, b = _pairs_in({k: v[~large_ones] for k, v in t.items()}, similarity) if not large_ones.all() else (np.zeros(0, np.int64),) * 2
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int64())] * 5], names=["a", "b", *columns])
+            if not large_ones.all():
+                met = _all_met_in({k: v[~large_ones] for k, v in t.items()}, similarity)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, met), *[pa.nulls(met.shape[1], pa.int64())] * 5], names=[*out, *columns])
             if large_ones.any():
                 n = int(large_ones.sum())
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 2, *(pa.array(t[c][large_ones]) for c in columns)], names=["a", "b", *columns])
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 3, *(pa.array(t[c][large_ones]) for c in columns)], names=[*out, *columns])
 
     def compare(t: pa.Table) -> pa.Table:
-        a, b = _pairs_in({c: t[c].to_numpy() for c in columns}, similarity)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.table(dict(zip(out, map(pa.array, _all_met_in({c: t[c].to_numpy() for c in columns}, similarity)))))
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = nodes.select(F.posexplode("prefix").alias("at", "key"), "node", "group", "size").select(*(F.col(c).cast("long").alias(c) for c in columns))
-    met = written(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(go, "a long, b long, " + ", ".join(f"{c} long" for c in columns)))
-    pairs, members = met.where("a is not null").select("a", "b"), met.where("a is null").select(*columns)
-    if members.isEmpty():
-        return pairs
-    cut = members.groupBy(F.col("key").alias("of")).agg(F.ceil(F.count("*") / F.lit(max(1, large // 2))).alias("m"))
-    placed = members.join(cut, F.col("key") == F.col("of")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("m")))
-    both = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).withColumn("x", F.least("i", "j")).withColumn("y", F.greatest("i", "j"))
-    return pairs.union(both.select(*columns, "x", "y").groupBy("key", "x", "y").applyInArrow(compare, "a long, b long"))
+    met = written(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(go, ", ".join(f"{c} long" for c in [*out, *columns])))
+    mates, members = met.where("a is not null").select(*out), met.where("a is null").select(*columns)
+    if not members.isEmpty():
+        cut = members.groupBy(F.col("key").alias("of")).agg(F.ceil(F.count("*") / F.lit(max(1, large // 2))).alias("m"))
+        placed = members.join(cut, F.col("key") == F.col("of")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("m")))
+        both = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).withColumn("x", F.least("i", "j")).withColumn("y", F.greatest("i", "j"))
+        mates = mates.union(both.select(*columns, "x", "y").groupBy("key", "x", "y").applyInArrow(compare, ", ".join(f"{c} long" for c in out)))
+    return mates.toDF("node", "group", "root")
+
+
+#: Least number of bits that a set's hashes are counted in, even or odd, to tell how far two sets differ at least; larger sets have twice their size.
+PARITIES = 1024
+#: Nodes, and hashes of all of them, that a block of a set of mates has on average at most.
+BLOCK, BLOCK_HASHES = 1000, 1 << 22
+
+
+def _links_in(node: np.ndarray, group: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """(a, b): links of at least the similarity that connect the groups which all such links between these nodes connect; none within a group.
+
+    Each pair of groups not yet one is compared, by sizes, then by parities (sets differ in at least as many hashes as parities), then whole.
+    """
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    node, label, sets = node[order], np.unique(group[order], return_inverse=True)[1], [sets[i] for i in order]
+    size = np.array([len(s) for s in sets], np.int64)
+    ends = np.searchsorted(similarity * size - 1e-6, size, "right")  # larger ones have no such share in common
+    a, b, bits, start, odd = [], [], PARITIES // 2, 0, None
+    for i in range(len(node) - 1):
+        if odd is None or bits < 2 * size[i]:
+            while odd is None or bits < 2 * size[i]:
+                bits, odd = 2 * bits, ()
+            start, last = i, int(ends[np.searchsorted(size, bits // 2, "right") - 1])  # all that those of these bits are compared with
+            odd = np.stack([np.packbits((np.bincount(s & np.uint32(bits - 1), minlength=bits) & 1).astype(bool)) for s in sets[start:last]]).view(np.uint64)
+        end = int(ends[i])
+        j = np.arange(i + 1, max(end, i + 1))
+        j = j[label[j] != label[i]]
+        if not len(j):
+            continue
+        differ = np.bitwise_count(odd[j - start] ^ odd[i - start]).sum(1, dtype=np.int64)
+        both = size[j] + size[i]
+        near = differ <= both * (1 - similarity) / (1 + similarity) + 1e-6
+        for k in j[near][np.argsort(differ[near], kind="stable")].tolist():
+            if label[k] == label[i]:
+                continue
+            common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+            if common >= similarity * (size[i] + size[k] - common) - 1e-9:
+                a.append(int(node[i]))
+                b.append(int(node[k]))
+                label[label == label[k]] = label[i]
+    return a, b
+
+
+def links_between(mates: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that connect what all pairs of at least the similarity connect, from mates (node, group, mates) and their sets (node, hashes: see
+    similar()). Nodes of the same mates are compared in one task, or by pairs of blocks, so a set travels once for each block and not for each pair."""
+
+    def go(t: pa.Table) -> pa.Table:
+        hashes = [np.frombuffer(v.as_buffer(), np.uint32) for v in t["hashes"]]
+        a, b = _links_in(t["node"].to_numpy(), t["group"].to_numpy(), hashes, similarity)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = mates.join(sets.select(F.col("node").alias("n"), "hashes"), F.col("node") == F.col("n")).drop("n")
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("size") / F.lit(BLOCK_HASHES))).cast("long")
+    cut = mates.groupBy(F.col("mates").alias("of")).agg(blocks.alias("m")).where("m > 1")
+    placed = rows.join(cut, F.col("mates") == F.col("of"), "left").withColumn("m", F.coalesce("m", F.lit(1).cast("long"))).withColumn("i", F.pmod(F.xxhash64("node"), F.col("m")))
+    both = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).where("m = 1 or i != j")
+    both = both.select("mates", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "node", "group", "hashes")
+    return both.groupBy("mates", "x", "y").applyInArrow(go, "a long, b long")
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, large: int = LARGE, row: str | None = None) -> DataFrame:
@@ -591,30 +669,31 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
             sets = pa.array([short_hashes(h).tobytes() for h in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([xxhash.xxh64_intdigest(h.tobytes()) for h in found], pa.uint64()).view(pa.int64()), sets], names=["row", "doc_id", "set", "hashes"])
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """(node, hashes) of all ends of the pairs."""
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "set", F.col("of.doc_id").alias("doc_id"), F.col("of.row").alias("row")), "node")
+    def sets_of(some: DataFrame) -> DataFrame:
+        """(node, hashes) of some nodes, each given once."""
+        asked = some.join(nodes.select("node", "set", F.col("of.doc_id").alias("doc_id"), F.col("of.row").alias("row")), "node")
         texts = rows.join(asked.select(F.col("row").alias("r"), F.col("doc_id").alias("d")).distinct(), (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
         sets = texts.mapInArrow(hashes, "row long, doc_id long, set long, hashes binary").withColumnsRenamed({"row": "r", "doc_id": "d", "set": "s"})
         sets = sets.join(asked, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("set") == F.col("s")))
         return written(sets.groupBy("node").agg(F.first("hashes").alias("hashes")))
 
-    # Each node's nearest candidate, then whatever joins groups that aren't one yet.
-    ends = edges.select("a", "b", F.posexplode(F.array("a", "b")).alias("end", "node"), "bits")
+    # Each node's nearest candidate, then whatever else joins groups that aren't one yet.
+    ends = edges.select("a", "b", F.explode(F.array("a", "b")).alias("node"), "bits")
     nearest = written(ends.groupBy("node").agg(F.min(F.struct("bits", "a", "b")).alias("e")).select("e.a", "e.b").distinct())
-    sets = sets_of(nearest)
+    sets = sets_of(nearest.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     links = written(similar(nearest, sets, similarity))
     label = written(components(links))
-    of = lambda end: label.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-    apart = edges.join(nearest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
     grouped = nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("group"), "size", "prefix")
-    apart = written(apart.select("a", "b").union(prefix_pairs(grouped, similarity, large)).distinct().join(nearest, ["a", "b"], "left_anti"))
-    more = sets_of(apart)
-    label = components(links.union(similar(apart, more, similarity)))
+    alike = written(prefix_mates(grouped, similarity, large).distinct())
+    connected = components(alike.select(F.col("group").alias("a"), F.col("root").alias("b")))
+    mates = alike.select("node", "group").distinct().join(connected.select(F.col("node").alias("g"), "component"), F.col("group") == F.col("g"), "left")
+    mates = written(mates.join(nodes.select(F.col("node").alias("n"), "size"), F.col("node") == F.col("n")).select("node", "group", F.coalesce("component", "group").alias("mates"), "size"))
+    more = sets_of(mates.select("node"))
+    label = components(links.union(links_between(mates, more, similarity)))
     named = nodes.join(label, "node", "left").select(*(F.col(n).alias(f"_{n}") for n in same), F.coalesce("component", "node").alias("group"))
     grouped = written(made.drop("keys", "size", "prefix").join(named, [made[n] == named[f"_{n}"] for n in same]).select("row", "doc_id", "body", "group"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "body", "row")
     firsts = grouped.groupBy(F.col("group").alias("g")).agg(F.min("doc_id").alias("component_id"), F.min(order).alias("order"))
     out = grouped.join(firsts, F.col("group") == F.col("g")).select("row", "doc_id", "component_id", (order == F.col("order")).alias("first"))
-    discard(made, nodes, met, edges, nearest, sets, links, apart, more)
+    discard(made, nodes, met, edges, nearest, sets, links, alike, mates, more)
     return out if row else out.drop("row")

@@ -188,3 +188,76 @@ def test_similar_is_exact(spark):
     got = simhash.similar(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame(rows, "node long, hashes binary"), 0.8).collect()
     want = {(a, b) for a, b in edges if len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
     assert {tuple(r) for r in got} == want and want
+
+
+def rows_joined(spark, since):
+    """The most rows that a join has made in the executions after number `since`, and the last execution's number."""
+    store, most, last = spark._jsparkSession.sharedState().statusStore(), 0, since
+    runs = store.executionsList().iterator()
+    while runs.hasNext():
+        number = runs.next().executionId()
+        last = max(last, number)
+        if number <= since:
+            continue
+        found, nodes = store.executionMetrics(number), store.planGraph(number).allNodes().iterator()
+        while nodes.hasNext():
+            node = nodes.next()
+            if "Join" not in node.name():
+                continue
+            metrics = node.metrics().iterator()
+            while metrics.hasNext():
+                m = metrics.next()
+                if m.name() == "number of output rows" and (v := found.get(m.accumulatorId())).isDefined():
+                    most = max(most, int(v.get().replace(",", "")))
+    return most, last
+
+
+def test_rows_grow_with_a_group_and_not_with_its_pairs(spark):
+    """Near copies of one text, most pairs of which are below 0.8, so that they aren't one group: twice the copies make no four times the rows."""
+    rng, made = np.random.default_rng(5), []
+    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    for n in (100, 200):
+        rows = []
+        for i in range(n):
+            w = base.copy()
+            for _ in range(int(rng.integers(0, 16))):
+                w[rng.integers(len(w))] = f"q{rng.integers(1e6)}"
+            rows.append((i, " ".join(w)))
+        since = rows_joined(spark, -1)[1]
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows)).collect()}
+        sets = {i: shingles(t) for i, t in rows}
+        assert all(got[a] == got[b] for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+        assert 1 < len({*got.values()}) < n
+        made.append(rows_joined(spark, since)[0])
+    assert made[1] < 3 * made[0] and made[1] < 2000
+
+
+def test_links_between_mates_connect_what_all_pairs_do(spark):
+    """Sets of 0 to 3000 hashes, of whose pairs some are just below and some just above 0.8, in groups and alone."""
+    rng = np.random.default_rng(6)
+    for blocks in (False, False, False, True):
+        sets = []
+        for n in (0, 1, 8, 20, 150, 700, 3000):
+            base = rng.integers(0, 1 << 32, n).astype(np.uint32)
+            for _ in range(6):
+                kept = base[rng.random(n) > 0.2 * rng.random()]
+                sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 32, int(0.1 * rng.random() * n)).astype(np.uint32)])))
+        node, group = rng.permutation(len(sets)), rng.integers(0, len(sets), len(sets))
+        common = lambda x, y: len({*sets[x].tolist()} & {*sets[y].tolist()})
+        want = {(x, y) for x in range(len(sets)) for y in range(x) if (c := common(x, y)) >= 0.8 * (len(sets[x]) + len(sets[y]) - c) - 1e-9}
+        at = {int(v): i for i, v in enumerate(node)}
+        if blocks:
+            mates = spark.createDataFrame([(int(v), int(g), 7, len(x)) for v, g, x in zip(node, group, sets)], "node long, group long, mates long, size int")
+            held = spark.createDataFrame([(int(v), x.tobytes()) for v, x in zip(node, sets)], "node long, hashes binary")
+            found = [tuple(r) for r in simhash.links_between(mates, held, 0.8, block=12).collect()]
+        else:
+            found = list(zip(*simhash._links_in(node, group, sets, 0.8)))
+        got = {(max(at[a], at[b]), min(at[a], at[b])) for a, b in found}
+
+        def connected(links):
+            label = group.copy()
+            for x, y in links:
+                label[label == label[x]] = label[y]
+            return {(x, y) for x in range(len(sets)) for y in range(x) if label[x] == label[y]}
+
+        assert got <= want and connected(got) == connected(want)
