@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import heapq
-import itertools
 import math
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,8 @@ READ_COST, DROP_COST, REPEAT_COST = 1.0, 1.5, 0.3
 DROPPED = set(".-_*~'`^,:;/\\")
 #: Single characters set apart by spaces, three or more of them.
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
+#: What is in each of these, and sooner searched for: the second and the third character.
+TWO_SPACED = re.compile(r"[ \t]\S[ \t]+\S(?!\S)")
 
 
 def trigrams(words: dict[str, int]) -> Counter:
@@ -62,13 +65,18 @@ class CharModel:
         return found
 
 
-EDGES = re.compile(r"^[^\w@$]+|[\W_]+$")
 DOUBLED = re.compile(r"([^\W\d_])\1")
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def core(token: str) -> str:
     """A token without the punctuation around it; a leading @ or $ may stand for a letter and stays."""
-    return EDGES.sub("", token)
+    i, j = 0, len(token)
+    while i < j and not (token[i].isalnum() or token[i] in "_@$"):
+        i += 1
+    while j > i and not token[j - 1].isalnum():
+        j -= 1
+    return token[i:j]
 
 
 def odd(word: str) -> bool:
@@ -81,47 +89,111 @@ def restore(token: str, model: CharModel) -> str:
     on to, or dropped as a separator. No state is pruned, and the time is linear in the token's length."""
     # best[(last two letters)] = (cost, word)
     best: dict[tuple[str, str], tuple[float, str]] = {("^", "^"): (0.0, "")}
-    for i, ch in enumerate(token):
-        letters = [(ch, 0.0)] if ch.isalpha() else [(c, READ_COST) for c in READ_AS.get(ch, "")]
+    known, cost_of, before = model.known, model.cost, ""
+    for ch in token:
+        letters = ((ch, 0.0),) if ch.isalpha() else [(c, READ_COST) for c in READ_AS.get(ch, "")]
+        drop, again = ch in DROPPED or not letters, ch == before
         after: dict[tuple[str, str], tuple[float, str]] = {}
-
-        def offer(key: tuple[str, str], cost: float, word: str, after=after) -> None:
-            if key not in after or (cost, word) < after[key]:
-                after[key] = (cost, word)
-
         for (a, b), (cost, word) in best.items():
             for c, extra in letters:
-                offer((b, c), cost + extra + model.cost(a, b, c), word + c if len(word) <= LONGEST else word)
-                if c == b and i and (token[i - 1] == ch):
-                    offer((a, b), cost + extra + REPEAT_COST, word)
-            if ch in DROPPED or not letters:
-                offer((a, b), cost + DROP_COST, word)
-        best = after
+                if (step := known.get((a, b, c))) is None:
+                    step = cost_of(a, b, c)
+                offer = (cost + extra + step, word + c if len(word) <= LONGEST else word)
+                if (had := after.get((b, c))) is None or offer < had:
+                    after[b, c] = offer
+                if again and c == b:
+                    offer = (cost + extra + REPEAT_COST, word)
+                    if (had := after.get((a, b))) is None or offer < had:
+                        after[a, b] = offer
+            if drop:
+                offer = (cost + DROP_COST, word)
+                if (had := after.get((a, b))) is None or offer < had:
+                    after[a, b] = offer
+        best, before = after, ch
     return min((cost + model.cost(a, b, "$"), word) for (a, b), (cost, word) in best.items())[1]
 
 
-def plain(token: str) -> list[str]:
-    """The runs of letters of a token as it stands."""
-    return [w for w in re.split(r"[\W\d_]+", token) if w]
+def plain(tokens: Iterable[str]) -> set[str]:
+    """The runs of letters of tokens as they stand."""
+    return set(LETTERS.findall(" ".join(tokens)))
 
 
-def names(word: str) -> set[str]:
+def names(word: str) -> list[str]:
     """Features of a restored word: itself, if not too long, and its beginnings."""
-    found = {word[:k] for k in STEMS if len(word) >= k}
-    return found | {"=" + word} if 2 < len(word) <= LONGEST else found
+    found = [word[:k] for k in STEMS if len(word) >= k]
+    if 2 < len(word) <= LONGEST:
+        found.append("=" + word)
+    return found
+
+
+def hidden(token: str, chars: CharModel) -> str:
+    """The word restored from a token if it may hide one, else an empty one."""
+    inner = token if token.isalpha() else core(token)
+    return restore(inner, chars) if odd(inner) else ""
+
+
+class Restored(dict):
+    """token -> hidden(token)."""
+
+    def __init__(self, chars: CharModel) -> None:
+        super().__init__()
+        self.chars = chars
+
+    def __missing__(self, token: str) -> str:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        word = self[token] = hidden(token, self.chars)
+        return word
 
 
-def readings(token: str, chars: CharModel) -> list[str]:
-    """The words of a token as it stands, and the one restored from it if it may hide one."""
-    found, inner = plain(token), core(token)
-    return [*found, restore(inner, chars)] if odd(inner) else found
+def may_hide(tokens: Iterable[str]) -> list[str]:
+    """Of tokens those that may hide a word, and some that don't: with another character than letters, or a character twice running."""
+    found, letters = [], []
+    for t in tokens:
+        (letters if t.isalpha() else found).append(t)
+    line = np.frombuffer(" ".join(letters).encode("utf-32-le", "surrogatepass"), np.uint32)
+    twice = np.flatnonzero(line[1:] == line[:-1])
+    found += [letters[i] for i in np.unique(np.searchsorted(np.flatnonzero(line == ord(" ")), twice)).tolist()]
+    return found
+
+
+def restored_words(text: str, restored: Restored) -> set[str]:
+    """The words of a whole text's tokens as they stand, and those restored from tokens that may hide one."""
+    tokens = words_of(text)
+    words = plain(tokens)
+    words.update(map(restored.__getitem__, may_hide(tokens)))
+    return words
+
+
+class Tally:
+    """How many documents have each feature. Features are numbered, so that those of a word seen before are not made again."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.of: dict[str, array] = {}
+        self.n = np.zeros(1024, np.int64)
+
+    def add(self, words: set[str]) -> None:
+        """Counts one document of these words."""
+        found = array("q")
+        for word in words:
+            if (mine := self.of.get(word)) is None:
+                mine = self.of[word] = array("q", [self.numbers.setdefault(n, len(self.numbers)) for n in names(word)])
+            found += mine
+        if len(self.numbers) > len(self.n):
+            self.n = np.concatenate([self.n, np.zeros(len(self.numbers), np.int64)])
+        self.n[np.frombuffer(found, np.int64)] += 1  # a number that is repeated here counts once
+
+    def counts(self) -> dict[str, int]:
+        return dict(zip(self.numbers, self.n[: len(self.numbers)].tolist()))
 
 
 def words_of(text: str) -> set[str]:
     """The distinct tokens of a whole text, lower case, with words put back together whose characters stood apart."""
     text = text.lower()
     tokens = set(text.split())
-    tokens.update("".join(m.group().split()) for m in SPACED.finditer(text))
+    if TWO_SPACED.search(text):
+        tokens.update("".join(m.group().split()) for m in SPACED.finditer(text))
     return tokens
 
 
@@ -131,6 +203,7 @@ class Model(dict):
     def __init__(self, scores: dict[str, float], chars: CharModel, floor: float) -> None:
         super().__init__()
         self.scores, self.chars, self.floor = scores, chars, floor
+        self.heads = {n.removeprefix("=")[: STEMS[0]] for n in scores}  # what a word with a scored feature begins with
 
     def __reduce__(self):
         return Model, (self.scores, self.chars, self.floor)
@@ -138,12 +211,15 @@ class Model(dict):
     def __missing__(self, token: str) -> float:
         if len(self) >= REMEMBERED:
             self.clear()
-        score = max((self.scores.get(n, 0.0) for w in readings(token, self.chars) for n in names(w)), default=0.0)
-        self[token] = score
+        words = [token] if token.isalpha() else LETTERS.findall(token)
+        words = [w for w in (*words, hidden(token, self.chars)) if w[: STEMS[0]] in self.heads]
+        score = self[token] = max((self.scores.get(n, 0.0) for w in words for n in names(w)), default=0.0)
         return score
 
     def score(self, text: str) -> float:
-        return max(self.floor, max(map(self.__getitem__, words_of(text)), default=0.0))
+        tokens, heads, k = words_of(text), self.heads, STEMS[0]
+        asked = may_hide(tokens) + [t for t in tokens if t[:k] in heads]  # all others have no scored feature
+        return max(self.floor, max(map(self.__getitem__, asked), default=0.0))
 
     def column(self, text: Column) -> Column:
         model = self
@@ -212,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
         words: Counter = Counter()
         for batch in batches:
             for body in batch.column(1).to_pylist():
-                words.update({w for t in words_of(body or "") for w in plain(t) if len(w) <= LONGEST})
+                words.update({w for w in plain(words_of(body or "")) if len(w) <= LONGEST})
         yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["name", "n"])
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,39 +306,34 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(kind, name, n, names): toxic documents as they are; the number of clean ones; counts of clean documents by feature."""
-        clean: Counter = Counter()
-        known: dict[str, set[str]] = {}
+        clean = Tally()
         types = (pa.int32(), pa.string(), pa.int64(), pa.list_(pa.string()))
 
-        def made_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], names=["kind", "name", "n", "names"])
+        def made_of(*columns: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "name", "n", "names"])
+
+        def counted(counts: dict[str, int]) -> pa.RecordBatch:
+            return made_of([2] * len(counts), list(counts), list(counts.values()), [None] * len(counts))
 
         here = CharModel(Counter())
         here.tri, here.bi, here.size = spelled.value
-
-        def features(token: str) -> set[str]:
-            if (found := known.get(token)) is None:
-                found = set(itertools.chain.from_iterable(map(names, readings(token, here))))
-                if len(known) < REMEMBERED // 10:
-                    known[token] = found
-            return found
-
+        restored = Restored(here)
         for batch in batches:
-            rows, others = [], 0
+            found, others = [], 0
             for toxic, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                mine = set(itertools.chain.from_iterable(map(features, words_of(body or ""))))
+                mine = restored_words(body or "", restored)
                 if toxic:
-                    rows.append((1, None, 1, sorted(mine)))
+                    found.append(sorted({n for w in mine for n in names(w)}))
                 else:
-                    clean.update(mine)
+                    clean.add(mine)
                     others += 1
+            yield made_of([1] * len(found), [None] * len(found), [1] * len(found), found)
             if others:
-                rows.append((0, None, others, None))
-            if len(clean) > REMEMBERED:
-                rows += [(2, n, c, None) for n, c in clean.items()]
-                clean.clear()
-            yield made_of(rows)
-        yield made_of([(2, n, c, None) for n, c in clean.items()])
+                yield made_of([0], [None], [others], [None])
+            if len(clean.numbers) > REMEMBERED:
+                yield counted(clean.counts())
+                clean = Tally()
+        yield counted(clean.counts())
 
     made = written(rows.mapInArrow(collect, "kind int, name string, n long, names array<string>"))
     counts = made.where("kind = 2").groupBy("name").agg(F.sum("n").alias("n"))

@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import Counter
 
@@ -183,3 +184,37 @@ def test_fits_hold_little_on_the_driver(spark):
     assert all(x.dtype == np.int32 and x.base is None for (x, _), _ in got)
     names = toxicity.shared_names(spark.createDataFrame([(["abcd", "bcde"],), (["bcde"],)], "n array<string>").toArrow()["n"])
     assert sorted(names, key=len) == [["bcde"], ["abcd", "bcde"]] and len({id(n) for ns in names for n in ns}) == 2
+
+
+def plainly(text, chars):
+    """The features of a text, each token looked at by itself."""
+    text, found = text.lower(), set()
+    for token in text.split() + ["".join(m.group().split()) for m in toxicity.SPACED.finditer(text)]:
+        inner = re.sub(r"^[^\w@$]+|[\W_]+$", "", token)
+        words = [w for w in re.split(r"[\W\d_]+", token) if w]
+        if inner and (not inner.isalpha() or any(a == b for a, b in zip(inner, inner[1:]))):
+            words.append(toxicity.restore(inner, chars))
+        for w in words:
+            found |= {w[:k] for k in (4, 5, 6, 7) if len(w) >= k} | ({"=" + w} if 2 < len(w) <= 24 else set())
+    return found
+
+
+def test_tokens_that_hide_nothing_cost_nothing(monkeypatch):
+    """Features, their counts and scores are those of every token looked at by itself, though most tokens aren't."""
+    rng = np.random.default_rng(2)
+    letters = list("abehnoooст漢ß²½01.-_@$*|,\t\n" + " " * 8)
+    texts = ["".join(rng.choice(letters, rng.integers(0, 120))) for _ in range(400)] + [t for _, t in corpus(100)[0]]
+    texts += ["", " ", "g r o b\ta  h", "a b", "a b c", "a\nb c", "x  y z!", "ab c d e f", "oo", "\ud800\ud800 oo", "--", "_a_ @@b$ $"]
+    chars = toxicity.CharModel(Counter(w for t in texts for w in t.split()))
+    by_token = [plainly(t, chars) for t in texts]
+    scores = {n: float(rng.random()) for n in sorted(set().union(*by_token)) if rng.random() < 0.05}
+    model = toxicity.Model(scores, chars, 0.01)
+    assert [model.score(t) for t in texts] == [max([0.01, *(scores.get(n, 0.0) for n in f)]) for f in by_token]
+    asked = []
+    monkeypatch.setattr(toxicity, "core", lambda token: asked.append(token) or token)
+    assert toxicity.Model({"=grobnak": 0.9, "zwel": 0.8}, chars, 0.01).score("the other grobnak was there") == 0.9 and asked == []
+    monkeypatch.undo()
+    tally, restored = toxicity.Tally(), toxicity.Restored(chars)
+    for t in texts:
+        tally.add(toxicity.restored_words(t, restored))
+    assert tally.counts() == Counter(n for f in by_token for n in f)
