@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import golay
-from gleanery.llm.common import components, discard, table, written
+from gleanery.llm.common import components, discard, slices, table, written
 
 SEED = 42
 #: Shingles that are hashed at a time, so that memory stays bounded on very long texts.
@@ -437,9 +437,10 @@ def shingle_counts(rows: DataFrame, words: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << BINS_LOG2, np.int64)
         for batch in batches:
-            for body in batch.column(0).cast(pa.binary()).to_pylist():
-                bins, n = np.unique(short_hashes(shingle_hashes(body or b"", words)) & BIN_MASK, return_counts=True)
-                sums[bins] += n
+            for part in slices(batch, 0):
+                for body in part.column(0).cast(pa.binary()).to_pylist():
+                    bins, n = np.unique(short_hashes(shingle_hashes(body or b"", words)) & BIN_MASK, return_counts=True)
+                    sums[bins] += n
         for i in range(0, len(sums), CHUNK):
             if sums[i : i + CHUNK].any():
                 yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK]), pa.array([pa.compress(sums[i : i + CHUNK].tobytes(), "zstd", asbytes=True)])], names=["chunk", "n"])
@@ -664,7 +665,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     edges = written(edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("bits").alias("bits")))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             found = [shingle_hashes(t or b"", words) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             sets = pa.array([short_hashes(h).tobytes() for h in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([xxhash.xxh64_intdigest(h.tobytes()) for h in found], pa.uint64()).view(pa.int64()), sets], names=["row", "doc_id", "set", "hashes"])

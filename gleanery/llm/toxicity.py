@@ -10,12 +10,11 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import all_labelled_texts, crc32_of_id, discard, table, written
+from gleanery.llm.common import all_labelled_texts, crc32_of_id, discard, slices, table, written
 
 #: Length of the word beginnings that are features besides whole words.
 STEMS = (4, 5, 6, 7)
@@ -224,10 +223,11 @@ class Model(dict):
     def column(self, text: Column) -> Column:
         model = self
 
-        @F.pandas_udf("double")
-        def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("double")
+        def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for s in texts:
-                yield pd.Series([model.score(t or "") for t in s], dtype="float64")
+                parts = slices(pa.RecordBatch.from_arrays([s], names=["text"]), 0)  # Python's strings of a few texts at a time
+                yield pa.array([model.score(t or "") for part in parts for t in part.column(0).to_pylist()], pa.float64())
 
         return score(text)
 
@@ -277,6 +277,36 @@ def shared_names(lists: pa.ChunkedArray) -> list[list[str]]:
     return [[one.setdefault(n, n) for n in names_.as_py() or ()] for names_ in lists]
 
 
+def tallied(batches: Iterator[pa.RecordBatch], chars: CharModel) -> Iterator[pa.RecordBatch]:
+    """(kind, name, n, names) from rows (label, text): toxic documents as they are; the number of clean ones; counts of clean documents by feature."""
+    clean = Tally()
+    types = (pa.int32(), pa.string(), pa.int64(), pa.list_(pa.string()))
+
+    def made_of(*columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "name", "n", "names"])
+
+    def counted(counts: dict[str, int]) -> pa.RecordBatch:
+        return made_of([2] * len(counts), list(counts), list(counts.values()), [None] * len(counts))
+
+    restored = Restored(chars)
+    for batch in (part for whole in batches for part in slices(whole, 1)):  # a toxic text's features take many times its memory
+        found, others = [], 0
+        for toxic, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            mine = restored_words(body or "", restored)
+            if toxic:
+                found.append(sorted({n for w in mine for n in names(w)}))
+            else:
+                clean.add(mine)
+                others += 1
+        yield made_of([1] * len(found), [None] * len(found), [1] * len(found), found)
+        if others:
+            yield made_of([0], [None], [others], [None])
+        if len(clean.numbers) > REMEMBERED:
+            yield counted(clean.counts())
+            clean = Tally()
+    yield counted(clean.counts())
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fits on all labelled texts that all_labelled_texts() gives for `learn`, a condition on doc_id: see surest(). The character model is of the same
     texts' words as they stand, and restores their tokens too. The driver gets the counts of three characters running, and of the toxic documents
@@ -287,8 +317,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
         """Counts of documents by word."""
         words: Counter = Counter()
         for batch in batches:
-            for body in batch.column(1).to_pylist():
-                words.update({w for w in plain(words_of(body or "")) if len(w) <= LONGEST})
+            for part in slices(batch, 1):
+                for body in part.column(1).to_pylist():
+                    words.update({w for w in plain(words_of(body or "")) if len(w) <= LONGEST})
         yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["name", "n"])
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,35 +336,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     spelled = docs.sparkSession.sparkContext.broadcast((dict(chars.tri), dict(chars.bi), chars.size))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(kind, name, n, names): toxic documents as they are; the number of clean ones; counts of clean documents by feature."""
-        clean = Tally()
-        types = (pa.int32(), pa.string(), pa.int64(), pa.list_(pa.string()))
-
-        def made_of(*columns: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "name", "n", "names"])
-
-        def counted(counts: dict[str, int]) -> pa.RecordBatch:
-            return made_of([2] * len(counts), list(counts), list(counts.values()), [None] * len(counts))
-
         here = CharModel(Counter())
         here.tri, here.bi, here.size = spelled.value
-        restored = Restored(here)
-        for batch in batches:
-            found, others = [], 0
-            for toxic, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                mine = restored_words(body or "", restored)
-                if toxic:
-                    found.append(sorted({n for w in mine for n in names(w)}))
-                else:
-                    clean.add(mine)
-                    others += 1
-            yield made_of([1] * len(found), [None] * len(found), [1] * len(found), found)
-            if others:
-                yield made_of([0], [None], [others], [None])
-            if len(clean.numbers) > REMEMBERED:
-                yield counted(clean.counts())
-                clean = Tally()
-        yield counted(clean.counts())
+        return tallied(batches, here)
 
     made = written(rows.mapInArrow(collect, "kind int, name string, n long, names array<string>"))
     counts = made.where("kind = 2").groupBy("name").agg(F.sum("n").alias("n"))

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -218,3 +219,12 @@ def test_tokens_that_hide_nothing_cost_nothing(monkeypatch):
     for t in texts:
         tally.add(toxicity.restored_words(t, restored))
     assert tally.counts() == Counter(n for f in by_token for n in f)
+
+
+def test_features_of_few_toxic_texts_are_held_at_a_time():
+    """A batch's toxic texts are tallied in parts of bounded size: their features take many times the memory of their texts."""
+    texts = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" * 40 for j in range(40)) for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * len(texts)), pa.array(texts)], names=["label", "text"])
+    made = [b for b in toxicity.tallied(iter([batch]), toxicity.CharModel(Counter())) if b.num_rows]
+    assert sum(b.num_rows for b in made) == len(texts)
+    assert len(made) == -(-sum(map(len, texts)) // common.AT_ONCE)
