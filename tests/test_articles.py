@@ -1,6 +1,7 @@
 """Rules on articles, pairs, sinks, joins and composed texts on literal inputs, against plain Python where there is one."""
 
 import difflib
+import random
 import re
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import compose, fixed, japanese
 from gleanery.functions import text as T
-from gleanery.operators import audits, boundaries, content_rules, density, joins, pair_rules, relevance_rules, sinks, stores, topics
+from gleanery.operators import audits, boundaries, compatible, content_rules, density, joins, pair_rules, relevance_rules, sinks, stores, topics
 from gleanery.sources import feeds
 
 LONG = "OpenAI has released a model of 120 billion weights, as was announced today."
@@ -108,6 +109,16 @@ def likeness(a, b):
     return more if abs(more - basic) > 0.15 else basic
 
 
+def weighted(b, a, hosts: bool) -> float:
+    """likeness() of rows whose hosts may differ."""
+    plain = lambda r: " ".join(w for w in f"{r[1]} {r[2]}".lower().split() if w not in T.STOP_WORDS)
+    share = lambda x, y: len({*x.split()} & {*y.split()}) / len({*x.split()} | {*y.split()})
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    titles, basic = (max(share(x, y), ratio(x, y)) for x, y in ((b[1], a[1]), (plain(b), plain(a))))
+    more = min(0.4 * titles + 0.35 * basic + 0.2 * ratio(b[2][:500], a[2][:500]) + 0.1 * hosts, 1.0)
+    return more if abs(more - basic) > 0.15 else basic
+
+
 def test_duplicates_against_python(spark):
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     rows = [(1, "First title", base), (2, "First title", base + " nu"), (3, "Other", "quite different words stand here"), (4, "first Title", base.replace("alpha", "omega")), (5, "First title", base), (6, "", "")]
@@ -122,6 +133,38 @@ def test_duplicates_against_python(spark):
     assert got == want
 
 
+def test_duplicates_find_the_likeliest_of_many_alike(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 7))) for _ in range(200)]
+    bases = [rng.sample(vocabulary, 50) for _ in range(4)]
+    changed = lambda b, p: [rng.choice(vocabulary) if rng.random() < p else w for w in b]
+    rows = [(i, " ".join(changed(bases[i % 4][:4], 0.2)), " ".join(changed(bases[i % 4], 0.04 * (i % 7))), f"https://{('cnet.com', 'wired.com', 'x.com')[i % 3]}/{i}") for i in range(80)]
+    got = {r.id: (-r.duplicate_of, r.score) for r in pair_rules.duplicates(spark.createDataFrame(rows, "id long, title string, content string, url string")).collect()}
+    want, hosts = {}, lambda r: r[3].split("/")[2]
+    sets = [{*f"{r[1]} {r[2]}".split()} - {*T.STOP_WORDS} for r in rows]
+    first = [sets.index(s) for s in sets]
+    for b in rows:
+        found = []
+        for a in rows[: b[0]] if first[b[0]] == b[0] else [rows[first[b[0]]]]:  # a copy goes with the first row of its words
+            p, q = sets[a[0]], sets[b[0]]
+            if first[a[0]] == a[0] and len(p & q) / len(p | q) >= 0.4:
+                found.append((weighted(b, a, hosts(a) != hosts(b) and "x.com" not in (hosts(a), hosts(b))), -a[0]))
+        if found and max(found)[0] >= 0.65:
+            want[b[0]] = max(found)[::-1]
+    assert len(want) > 40 and got.keys() == want.keys()
+    assert [(i, got[i], w) for i, w in want.items() if got[i][0] != w[0] or abs(got[i][1] - w[1]) > 1e-12] == []
+
+
+def test_ratios_over_a_floor_are_those_of_difflib():
+    rng = random.Random(6)
+    for n in (0, 1, 30, 300, 900):
+        a = "".join(rng.choices("abcdeghiouzq ", k=n))
+        for b in (a, "", a[n // 3 :] + a[: n // 3], "".join(c if rng.random() > 0.1 else "x" for c in a)):
+            for x, y in ((a, b), (b, a)):
+                whole = difflib.SequenceMatcher(None, x, y).ratio()
+                assert [compatible.ratio_over(x, y, f) for f in (0.0, 0.5, 0.9, 1.0)] == [max(whole, f) for f in (0.0, 0.5, 0.9, 1.0)]
+
+
 def test_consolidated_and_citations(spark):
     rows = spark.createDataFrame([(1, "T one", ["a", "b"], "src_a", 0.5, "https://a.com/1", "c"), (2, "T two", ["c"], "src_b", 0.9, "https://b.com/2", "c"), (3, "T three", ["d"], "src_c", 0.9, "https://b.com/2", "c"), (4, "Alone", [], "src_a", 0.1, "https://a.com/4", "c")], "id long, title string, points array<string>, source_id string, s double, url string, content string")
     groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4)], "id long, leader long")
